@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid
+from . import langid, quality, sentencepiece
+
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("SPARKLODE_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,4 +26,17 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as SentencePiece ids, and decoded again."""
+    return sentencepiece.tokenize(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality for every document, by trees that are fitted on the labels."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES["op1_sentencepiece"] = op1_sentencepiece
 QUERIES["op7_langid"] = op7_langid
+QUERIES["op9_quality"] = op9_quality

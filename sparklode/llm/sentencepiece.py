@@ -298,11 +298,14 @@ def decode(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> pa.Array:
     unk = " ⁇ ".encode()
     surface[v.unk] = unk
     surface.append(unk)
-    bad = (ids < 0) | (ids >= len(v.pieces))
-    pieces = pa.array(surface, pa.large_binary()).take(pa.array(np.where(bad, len(v.pieces), ids)))
-    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pieces), pa.scalar(b"", pa.large_binary()))
-    lead = pc.equal(pc.binary_slice(joined, 0, 1), pa.scalar(b" ", pa.large_binary())) if len(joined) else pa.array([], pa.bool_())
-    joined = pc.if_else(lead, pc.binary_slice(joined, 1), joined)
+    surface += [p[1:] if p[:1] == b" " else p for p in surface]  # as the first piece of a text
+    pick = np.where((ids < 0) | (ids >= len(v.pieces)), len(v.pieces), ids)
+    seen = np.flatnonzero(~np.isin(pick, v.control))
+    at = np.searchsorted(seen, off[:-1])
+    first = np.append(seen, len(pick))[at]
+    first = first[first < off[1:]]
+    pick[first] += len(v.pieces) + 1
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(surface, pa.large_binary()).take(pa.array(pick))), pa.scalar(b"", pa.large_binary()))
     try:
         return joined.cast(pa.large_string())
     except pa.ArrowInvalid:
