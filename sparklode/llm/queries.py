@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid, quality, sentencepiece
+from . import langid, lines, mixing, quality, sentencepiece
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKLODE_TOKENIZERS", "/opt/tokenizers")
@@ -37,6 +37,52 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+#: Target weights of op2; every other source has weight 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+BUDGET_SHARE = 0.5
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of half of all tokens, sources in proportion to their target weights."""
+    return mixing.schedule(_read(spark, sf_dir, "documents"), WEIGHTS, budget_share=BUDGET_SHARE)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that occur earlier."""
+    return lines.dedup(_read(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_mixing"] = """
+WITH base AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS n_tokens,
+         md5('1-' || CAST(doc_id AS VARCHAR)) AS key,
+         CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM documents),
+timed AS (
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id) AS DOUBLE) / weight AS finish FROM base),
+ranked AS (
+  SELECT *, CAST(sum(n_tokens) OVER (ORDER BY finish, source NULLS FIRST, key, doc_id) AS BIGINT) AS total_tokens FROM timed)
+SELECT doc_id, source, n_tokens, finish, total_tokens FROM ranked
+WHERE total_tokens <= floor((SELECT sum(n_tokens) FROM base) * 0.5)
+"""
+
+ORACLES["op8_line_dedup"] = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+line AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM split),
+run AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) AS r FROM run WHERE i + 2 < n)
+  WHERE r > 1),
+dead AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS t(k))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE dead_i IS NULL), '') AS text,
+       CAST(count(dead_i) AS INTEGER) AS n_deleted
+FROM (SELECT l.*, d.i AS dead_i FROM line l LEFT JOIN dead d USING (doc_id, i)) GROUP BY doc_id
+"""
+
 QUERIES["op1_sentencepiece"] = op1_sentencepiece
+QUERIES["op2_mixing"] = op2_mixing
 QUERIES["op7_langid"] = op7_langid
+QUERIES["op8_line_dedup"] = op8_line_dedup
 QUERIES["op9_quality"] = op9_quality
