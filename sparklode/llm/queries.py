@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid, lines, mixing, quality, sentencepiece
+from . import langid, lines, mixing, neardup_vectors, quality, sentencepiece, topk, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKLODE_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,38 @@ SELECT doc_id, source, n_tokens, finish, total_tokens FROM ranked
 WHERE total_tokens <= floor((SELECT sum(n_tokens) FROM base) * 0.5)
 """
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read again as payload chunks of 16 KiB."""
+    return warc.roundtrip(_read(spark, sf_dir, "pages"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every embedding."""
+    return topk.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of embeddings with a cosine of at least 0.95."""
+    return neardup_vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_warc"] = """
+WITH page AS (SELECT '<urn:page:' || page_id || '>' AS record_id, url AS uri, hex(encode(html)) AS h FROM pages),
+piece AS (SELECT *, CAST(unnest(range(greatest(1, CAST(ceil(length(h) / 32768.0) AS BIGINT)))) AS INTEGER) AS chunk_no FROM page),
+cut AS (SELECT *, substr(h, 1 + chunk_no * 32768, 32768) AS part FROM piece)
+SELECT record_id, uri, chunk_no, CAST(chunk_no AS BIGINT) * 16384 AS "offset", CAST(length(part) // 2 AS INTEGER) AS n_bytes,
+       base64(unhex(part)) AS payload, sha1(unhex(substr(h, 1, (chunk_no + 1) * 32768))) AS sha1,
+       (chunk_no + 1) * 32768 >= length(h) AS "last"
+FROM cut
+"""
+
+ORACLES["op6_topk"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank FROM d)
+SELECT vec_id, rank, neighbour, round(dist, 6) AS distance FROM r WHERE rank <= 10
+"""
+
 ORACLES["op8_line_dedup"] = """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 line AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM split),
@@ -83,6 +115,9 @@ FROM (SELECT l.*, d.i AS dead_i FROM line l LEFT JOIN dead d USING (doc_id, i))
 
 QUERIES["op1_sentencepiece"] = op1_sentencepiece
 QUERIES["op2_mixing"] = op2_mixing
+QUERIES["op4_warc"] = op4_warc
+QUERIES["op6_topk"] = op6_topk
 QUERIES["op7_langid"] = op7_langid
 QUERIES["op8_line_dedup"] = op8_line_dedup
 QUERIES["op9_quality"] = op9_quality
+QUERIES["op10_lattice"] = op10_lattice
