@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid, lines, mixing, neardup_vectors, quality, sentencepiece, topk, warc
+from . import jaccard, langid, lines, mixing, neardup_vectors, quality, sentencepiece, topk, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKLODE_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,11 @@ SELECT doc_id, source, n_tokens, finish, total_tokens FROM ranked
 WHERE total_tokens <= floor((SELECT sum(n_tokens) FROM base) * 0.5)
 """
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose sets of word trigrams have a Jaccard similarity of at least 0.7."""
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read again as payload chunks of 16 KiB."""
     return warc.roundtrip(_read(spark, sf_dir, "pages"))
@@ -115,6 +120,7 @@ FROM (SELECT l.*, d.i AS dead_i FROM line l LEFT JOIN dead d USING (doc_id, i))
 
 QUERIES["op1_sentencepiece"] = op1_sentencepiece
 QUERIES["op2_mixing"] = op2_mixing
+QUERIES["op3_jaccard"] = op3_jaccard
 QUERIES["op4_warc"] = op4_warc
 QUERIES["op6_topk"] = op6_topk
 QUERIES["op7_langid"] = op7_langid
