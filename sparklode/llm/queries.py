@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import jaccard, langid, lines, mixing, neardup_vectors, quality, sentencepiece, topk, warc
+from . import jaccard, langid, lines, mixing, neardup_vectors, quality, sentencepiece, suffixes, topk, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKLODE_TOKENIZERS", "/opt/tokenizers")
@@ -76,6 +76,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_read(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document that consist of repeated passages of at least 50 words."""
+    return suffixes.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every embedding."""
     return topk.nearest(_read(spark, sf_dir, "embeddings"))
@@ -122,6 +127,7 @@ QUERIES["op1_sentencepiece"] = op1_sentencepiece
 QUERIES["op2_mixing"] = op2_mixing
 QUERIES["op3_jaccard"] = op3_jaccard
 QUERIES["op4_warc"] = op4_warc
+QUERIES["op5_suffix_array"] = op5_suffix_array
 QUERIES["op6_topk"] = op6_topk
 QUERIES["op7_langid"] = op7_langid
 QUERIES["op8_line_dedup"] = op8_line_dedup
