@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import packed as P
 from . import text as X
+from .components import components
 
 ORDERS = 3
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -343,3 +344,29 @@ def join(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
     near = members.unionByName(wanted).repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(_verify(threshold), _OUT)
     copies = sets.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.col("size").alias("common"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
+
+
+#: Removed documents up to which their keys are broadcast; beyond it the documents are shuffled to them.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
+    """The rows of docs, all columns as they are, without all but one document of each group of near duplicates.
+
+    A group is a connected component of join's pairs; the document with the least doc_id (null first, of equal ids the
+    one with the lower text hash) stays. Rows equal in doc_id and text are one document and stay or go together. A null
+    doc_id is a value like others here. Null texts and texts without words stay.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    pairs = cut(join(docs.select(key.alias("doc_id"), "text"), threshold, n), "pairs")
+    rows = docs.select(F.struct("*").alias("__row"))
+    own = F.xxhash64(F.col("__row.doc_id").cast("long"), F.col("__row.text").cast("string"))
+    linked = components(pairs.select(F.col("docs_a")[0].alias("u"), F.col("docs_b")[0].alias("v")))
+    sides = F.explode(F.array("docs_a", "docs_b")).alias("ids")
+    members = pairs.select(sides).distinct().select(F.col("ids")[0].alias("node"), F.explode("ids").alias("key")).join(linked, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
+    named = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).join(members, "key")
+    best = named.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    removed = cut(members.join(best, "group").filter(F.col("key") != F.col("best.key")).select(F.col("key").alias("__key")).distinct(), "removed")
+    if removed.count() <= BROADCAST_ROWS:
+        removed = F.broadcast(removed)
+    return rows.join(removed, own == F.col("__key"), "left_anti").select("__row.*")
