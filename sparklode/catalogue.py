@@ -5,10 +5,368 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle as O
+from .functions import tokens as K
+from .operators import combine, fetch, filters, index, postings, search
+from .operators.shred import shred, shred_plan
+from .session import scratch, ship
+from .sources import cells as C
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+#: Key and text columns of the tables that the queries index.
+TABLES = {
+    "documents": ("doc_id", ["text"]), "pages": ("page_id", ["url"]), "events": ("event_id", ["event_type", "props"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+    "part": ("p_partkey", ["p_name", "p_brand", "p_type"]), "conversations": ("conv_id, turn", ["role", "text"]), "customer": ("c_custkey", ["c_name", "c_mktsegment"]),
+}
+_indexes: dict[tuple, index.Index] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _cells(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None) -> DataFrame:
+    return C.cells(ship(spark), f"{sf_dir}/{table}.parquet", columns or TABLES[table][1])
+
+
+def index_of(spark: SparkSession, sf_dir: str, table: str) -> index.Index:
+    """The table's index in the shared folder, built once in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir, table)
+    if at not in _indexes:
+        _indexes[at] = index.build(ship(spark), f"{sf_dir}/{table}.parquet", scratch(spark, f"{table}-index"), TABLES[table][1])
+    return _indexes[at]
+
+
+def _occ(table: str, columns: list[str] | None = None) -> str:
+    key, own = TABLES[table]
+    return O.occurrences(O.cells(table, key.split(",")[0] if "," not in key else key, columns or own).replace(f"{key} AS key", f"{key.split(',')[0]} AS key"))
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of events whose props hold the token 26."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("props").contains("26"))
+    """Event ids whose props hold the token 26, found in the index and fetched."""
+    return flagship_token_search(spark, sf_dir)
+
+
+# Scans
+
+
+@query("SELECT row AS row_in_group, column_name, text FROM (" + O.cells("part", "p_partkey", ["p_name", "p_brand", "p_type"]) + ")")
+def cells_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "part").select("row_in_group", "column_name", "text")
+
+
+@query("SELECT row AS row_in_group, column_name, text FROM (" + O.cells("part", "p_partkey", ["p_partkey", "p_name", "p_type", "p_size"]) + ")")
+def exclude_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns but two; integers are indexed as their text."""
+    return C.cells(ship(spark), f"{sf_dir}/part.parquet", exclude=["p_brand", "p_retailprice"]).select("row_in_group", "column_name", "text")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 1 THEN '' WHEN 2 THEN props END AS text FROM events WHERE event_id % 3 = 2 AND props <> ''")
+def null_empty_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls (two in six rows) and empty texts give no cell."""
+    e = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 1, "").when(F.col("event_id") % 3 == 2, F.col("props")).alias("props"))
+    return C.unpivot(e, ["event_id"]).select("event_id", "text")
+
+
+@query("SELECT r.row_group, r.first_row, r.num_rows FROM (SELECT 0 AS row_group, CAST(0 AS BIGINT) AS first_row, (SELECT count(*) FROM events) AS num_rows) r")
+def row_group_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.row_groups(ship(spark), _read(spark, sf_dir, "events")).select("row_group", "first_row", "num_rows")
+
+
+# Tokens
+
+_COUNTED = "SELECT key AS id, column_name, keyword, splits, parent, CAST(count(*) AS BIGINT) AS n FROM occ GROUP BY ALL"
+
+
+def _shredded(table: str, columns: list[str], how):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = TABLES[table][0]
+        got = how(C.unpivot(_read(spark, sf_dir, table), [key], columns))
+        return got.groupBy(F.col(key).alias("id"), "column_name", "keyword", "splits", "parent").agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+for _name, _table, _columns, _how in [("shred_documents", "documents", ["text"], shred), ("shred_pages", "pages", ["url", "html"], shred), ("shred_events", "events", ["props"], shred), ("shred_plan_pages", "pages", ["url", "html"], shred_plan)]:
+    QUERIES[_name] = _shredded(_table, _columns, _how)
+    ORACLES[_name] = f"WITH {_occ(_table, _columns)} {_COUNTED}"
+
+
+@query(f"WITH {_occ('documents')} SELECT keyword, CAST(count(*) AS BIGINT) AS n FROM occ GROUP BY keyword")
+def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred(_cells(spark, sf_dir, "documents")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_occ('documents')} SELECT keyword, CAST(count(*) AS BIGINT) AS n FROM occ GROUP BY keyword ORDER BY n DESC, keyword LIMIT 50")
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frequency(spark, sf_dir).orderBy(F.desc("n"), "keyword").limit(50)
+
+
+def _stats(table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return postings.keyword_stats(shred(_cells(spark, sf_dir, table)))
+
+    return run
+
+
+for _table in ("part", "orders"):
+    QUERIES[f"keyword_stats_{_table}"] = _stats(_table)
+    ORACLES[f"keyword_stats_{_table}"] = f"WITH {_occ(_table)} SELECT keyword, column_name, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT row) AS BIGINT) AS rows, bit_or(splits) AS splits FROM occ GROUP BY ALL"
+
+
+@query(f"WITH {_occ('part')} SELECT DISTINCT column_name, keyword FROM occ")
+def column_keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.column_keywords(shred(_cells(spark, sf_dir, "part")))
+
+
+@query(f"WITH {_occ('part')} SELECT DISTINCT keyword FROM occ")
+def global_keyword_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.column_keywords(shred(_cells(spark, sf_dir, "part"))).select("keyword").distinct()
+
+
+# Postings
+
+_RUN_COLUMNS = "keyword, column_name, start_row, end_row, splits, parent"
+
+
+def _runs(table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return postings.run_lengths(shred(_cells(spark, sf_dir, table))).select("keyword", "column_name", "start_row", "end_row", "splits", "parent")
+
+    return run
+
+
+for _table in ("orders", "events", "pages"):
+    QUERIES[f"rle_postings_{_table}"] = _runs(_table)
+    ORACLES[f"rle_postings_{_table}"] = f"WITH {_occ(_table)}, {O.runs()} SELECT {_RUN_COLUMNS} FROM runs"
+
+
+@query(f"WITH {_occ('orders')}, {O.runs()} SELECT keyword, CAST(sum(end_row - start_row + 1) AS BIGINT) AS total_occurrences FROM runs GROUP BY keyword")
+def total_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.total_occurrences(index_of(spark, sf_dir, "orders").posting)
+
+
+# Filters
+
+_COUNTS = f"WITH {_occ('part')}, names AS (SELECT DISTINCT column_name, keyword FROM occ), counts AS (SELECT column_name, count(*) AS n FROM names GROUP BY 1 UNION ALL SELECT '', count(DISTINCT keyword) FROM names)"
+
+
+@query(f"{_COUNTS}, m AS (SELECT column_name, n, CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))) AS BIGINT) AS num_bits FROM counts) SELECT column_name, CAST(n AS BIGINT) AS num_items, num_bits, CAST(greatest(1, ceil(num_bits / CAST(n AS DOUBLE) * ln(2::DOUBLE))) AS INTEGER) AS num_hashes FROM m")
+def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.parameters(QUERIES["column_keyword_sets"](spark, sf_dir)).select("column_name", "num_items", "num_bits", "num_hashes")
+
+
+@query(f"{_COUNTS} SELECT column_name, CASE WHEN n < 100 THEN 'set' ELSE 'bloom' END AS kind FROM counts")
+def filter_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.parameters(QUERIES["column_keyword_sets"](spark, sf_dir)).select("column_name", "kind")
+
+
+@query(f"WITH {_occ('part')}, names AS (SELECT DISTINCT column_name, keyword FROM occ UNION SELECT '', keyword FROM occ) SELECT column_name, count(*) AS members, count(*) AS passed FROM names GROUP BY 1")
+def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member passes the filter of its column and the global one."""
+    i = index_of(spark, sf_dir, "part")
+    names = i.posting.select("column_name", "keyword").distinct()
+    asked = names.unionByName(names.select(F.lit(filters.GLOBAL).alias("column_name"), "keyword"))
+    got = filters.probe(asked, i.read("filter"), i.read("bitmap"), i.read("set"))
+    return got.groupBy("column_name").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("might_contain").cast("long")).alias("passed"))
+
+
+@query(f"WITH {_occ('part')} SELECT true AS within_bound")
+def bloom_false_positive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of absent words, the global filter passes at most 5 in 100 at an error rate of 1 in 100."""
+    i = index_of(spark, sf_dir, "part")
+    asked = i.posting.select(F.lit(filters.GLOBAL).alias("column_name"), F.concat(F.lit("absent@"), "keyword").alias("keyword")).distinct()
+    got = filters.probe(asked, i.read("filter"), i.read("bitmap"), i.read("set"))
+    return got.agg((F.avg(F.col("might_contain").cast("double")) <= 0.05).alias("within_bound"))
+
+
+# Searches
+
+_HITS = "column_name, start_row, end_row, splits, parent"
+
+
+def _search_query(name: str, table: str, word: str, column: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.keyword(index_of(spark, sf_dir, table).posting, word, column).select("column_name", "start_row", "end_row", "splits", "parent")
+
+    QUERIES[name] = run
+    where = f" AND column_name = '{column}'" if column else ""
+    ORACLES[name] = f"WITH {_occ(table)}, {O.runs()} SELECT {_HITS} FROM runs WHERE keyword = '{word}'{where}"
+
+
+_search_query("keyword_search_all", "pages", "example.com", None)
+_search_query("keyword_search_column", "documents", "the", "text")
+_search_query("keyword_search_path", "pages", "en", "url")
+_search_query("keyword_absent", "pages", "no-such-token", None)
+_search_query("unknown_column", "pages", "example", "nowhere")
+
+
+@query(f"WITH {_occ('conversations')} SELECT DISTINCT column_name FROM occ WHERE keyword = 'user'")
+def columns_with_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.columns_with(index_of(spark, sf_dir, "conversations").posting, "user")
+
+
+@query(f"WITH {_occ('part')} SELECT column_name, word, EXISTS (SELECT 1 FROM occ o WHERE o.keyword = word AND o.column_name = c.column_name) AS present FROM (VALUES ('p_name'), ('p_brand'), ('p_type')) c(column_name), (VALUES ('Brand'), ('3'), ('zzz')) w(word)")
+def search_in_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index_of(spark, sf_dir, "part")
+    rows = [(c, w, search.in_column(i.posting, w, c)) for c in ("p_name", "p_brand", "p_type") for w in ("Brand", "3", "zzz")]
+    return spark.createDataFrame(rows, "column_name string, word string, present boolean")
+
+
+@query(f"WITH {_occ('pages')}, hit AS (SELECT * FROM occ WHERE keyword IN ('blog', 'example', 'example.com', 'com')) SELECT column_name, row FROM hit GROUP BY ALL HAVING count(DISTINCT keyword) = (SELECT count(DISTINCT keyword) FROM hit WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}) ) AND false UNION ALL SELECT column_name, row FROM occ WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}) GROUP BY ALL HAVING count(DISTINCT keyword) = (SELECT count(DISTINCT keyword) FROM occ WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}))")
+def phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.phrase_candidates(index_of(spark, sf_dir, "pages").posting, "example.com").select("column_name", "row")
+
+
+def _phrase_query(name: str, table: str, text: str, column: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.phrase(index_of(spark, sf_dir, table).posting, text, column).select("column_name", "row", "confirmed", "needs_verification")
+
+    QUERIES[name] = run
+    status = O.phrase_status(text, K.split_phrase(text), K.phrase_level(text), column)
+    ORACLES[name] = f"WITH {_occ(table)}, {status} SELECT * FROM status WHERE confirmed OR needs_verification"
+
+
+_phrase_query("phrase_status_url", "pages", "example.com/en", "url")
+_phrase_query("phrase_status_dotted", "pages", "example.com", None)
+_phrase_query("phrase_status_props", "events", "k: 26", None)
+_phrase_query("phrase_status_words", "documents", "of the", "text")
+_phrase_query("phrase_status_parts", "conversations", "of.the", "text")
+
+
+def _strict_query(name: str, table: str, text: str, column: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.phrase_strict(index_of(spark, sf_dir, table), text, column).select("column_name", "row")
+
+    QUERIES[name] = run
+    key, own = TABLES[table]
+    ORACLES[name] = f"SELECT column_name, row FROM ({O.cells(table, key, [column] if column else own)}) WHERE contains(text, '{text}')"
+
+
+_strict_query("phrase_strict_url", "pages", "example.com/en", "url")
+_strict_query("phrase_strict_words", "documents", "of the", "text")
+_strict_query("phrase_strict_piece", "part", "rand#", None)
+_strict_query("phrase_strict_delimiter", "events", ": ", None)
+
+
+# Combinations and fetching
+
+
+def _rows(table: str, *words: tuple[str, str]) -> str:
+    return ", ".join(f"r{k} AS (SELECT DISTINCT row FROM occ WHERE keyword = '{w}' AND column_name = '{c}')" for k, (w, c) in enumerate(words))
+
+
+_ISLANDS = "SELECT min(row) AS start_row, max(row) AS end_row FROM (SELECT row, row - row_number() OVER (ORDER BY row) AS g FROM hit) GROUP BY g"
+_CLICK, _TWO = ("click", "event_type"), ("26", "props")
+
+
+def _both(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    p = index_of(spark, sf_dir, "events").posting
+    return [search.keyword(p, w, c) for w, c in (_CLICK, _TWO)]
+
+
+@query(f"WITH {_occ('events')}, {_rows('events', _CLICK, _TWO)}, hit AS (SELECT row FROM r0 INTERSECT SELECT row FROM r1) {_ISLANDS}")
+def combine_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combine.all_of(_both(spark, sf_dir)).select("start_row", "end_row")
+
+
+@query(f"WITH {_occ('events')}, {_rows('events', _CLICK, _TWO)}, hit AS (SELECT row FROM r0 UNION SELECT row FROM r1) {_ISLANDS}")
+def combine_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combine.any_of(_both(spark, sf_dir)).select("start_row", "end_row")
+
+
+@query(f"WITH {_occ('events')}, {_rows('events', _CLICK, _TWO)}, hit AS (SELECT row FROM r0 EXCEPT SELECT row FROM r1) {_ISLANDS}")
+def combine_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combine.none_of(*_both(spark, sf_dir)).select("start_row", "end_row")
+
+
+@query(f"WITH {_occ('events')}, {_rows('events', _CLICK)}, hit AS (SELECT row FROM r0) {_ISLANDS}")
+def rows_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.hit_rows(search.keyword(index_of(spark, sf_dir, "events").posting, *_CLICK))
+    return postings.to_ranges(rows, ["file_path", "row_group"]).select("start_row", "end_row")
+
+
+@query(f"WITH {_occ('orders')} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT key FROM occ WHERE keyword = 'URGENT' AND column_name = 'o_orderpriority')")
+def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.keyword(index_of(spark, sf_dir, "orders").posting, "URGENT", "o_orderpriority")
+    return fetch.rows(spark, f"{sf_dir}/orders.parquet", hits).drop("o_orderdate")
+
+
+@query(f"WITH {_occ('events')} SELECT event_id, event_type FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
+def fetch_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of the hit rows; a column that the table lacks is ignored."""
+    hits = search.keyword(index_of(spark, sf_dir, "events").posting, *_TWO)
+    return fetch.rows(spark, f"{sf_dir}/events.parquet", hits, ["event_id", "event_type", "nowhere"])
+
+
+@query(f"WITH {_occ('pages')}, {O.phrase_status('example.com/en', K.split_phrase('example.com/en'), K.phrase_level('example.com/en'), 'url')} SELECT p.page_id, p.url FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS row FROM pages) p WHERE row IN (SELECT row FROM status WHERE confirmed OR needs_verification)")
+def fetch_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a phrase search confirms or leaves to verification."""
+    return fetch.rows(spark, f"{sf_dir}/pages.parquet", search.search(index_of(spark, sf_dir, "pages"), "example.com/en", "url"), ["page_id", "url"])
+
+
+@query(f"WITH {_occ('events')}, {_rows('events', _TWO)} SELECT 1::BIGINT AS total_row_groups, 1::BIGINT AS row_groups_to_read, (SELECT count(*) FROM events) AS total_rows, (SELECT count(*) FROM r0) AS rows_to_read, 0::BIGINT AS row_groups_skipped, (SELECT count(*) FROM events) - (SELECT count(*) FROM r0) AS rows_skipped, 0.0::DOUBLE AS percent_row_groups_skipped, round(((SELECT count(*) FROM events) - (SELECT count(*) FROM r0)) * 100.0::DOUBLE / (SELECT count(*) FROM events), 4) AS percent_rows_skipped")
+def pruning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index_of(spark, sf_dir, "events")
+    return fetch.pruning(i.row_groups, search.keyword(i.posting, *_TWO)).withColumn("percent_row_groups_skipped", F.col("percent_row_groups_skipped").cast("double")).withColumn("percent_rows_skipped", F.col("percent_rows_skipped").cast("double"))
+
+
+@query(f"WITH {_occ('part')}, {O.runs()} SELECT 1 AS version, 0.01::DOUBLE AS error_rate, 1::BIGINT AS files, 1::BIGINT AS row_groups, (SELECT count(*) FROM part) AS rows, count(DISTINCT column_name) AS columns, count(DISTINCT keyword) AS keywords, count(*) AS postings FROM runs")
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.info(index_of(spark, sf_dir, "part"))
+
+
+@query("SELECT 'ok' AS status, 1::BIGINT AS files")
+def validate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.validate(index_of(spark, sf_dir, "part")).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT table_name, present FROM (VALUES ('part', true), ('region', false)) t(table_name, present)")
+def index_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index_of(spark, sf_dir, "part")
+    rows = [("part", index.exists(spark, i.table, i.path)), ("region", index.exists(spark, f"{sf_dir}/region.parquet", i.path + "-none"))]
+    return spark.createDataFrame(rows, "table_name string, present boolean")
+
+
+_TERMS = [("BUILDING", "c_mktsegment"), ("Customer", "c_name")]
+
+
+@query(f"WITH {_occ('customer')}, {_rows('customer', *_TERMS)} SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer) WHERE row IN (SELECT row FROM r0 INTERSECT SELECT row FROM r1)")
+def multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with several tokens in given columns: searches, AND, fetch."""
+    p = index_of(spark, sf_dir, "customer").posting
+    return fetch.rows(spark, f"{sf_dir}/customer.parquet", combine.all_of([search.keyword(p, w, c) for w, c in _TERMS]))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_brand, 'Brand#3')")
+def contains_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substring predicate answered by the index."""
+    from .plans.rewrite import where_contains
+
+    return where_contains(index_of(spark, sf_dir, "part"), "p_brand", "Brand#3", ["p_partkey", "p_name"])
+
+
+@query(f"WITH {_occ('events')}, {O.runs()} SELECT {_RUN_COLUMNS} FROM runs")
+def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of a stream of files, equal to those of the table."""
+    from .streaming.append import index_stream
+
+    p = index_stream(ship(spark), f"{sf_dir}/events.parquet", scratch(spark, "stream"), TABLES["events"][1])
+    return p.select("keyword", "column_name", "start_row", "end_row", "splits", "parent")
+
+
+@query(f"WITH {_occ('events')} SELECT event_id FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
+def flagship_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.rows(spark, f"{sf_dir}/events.parquet", search.keyword(index_of(spark, sf_dir, "events").posting, *_TWO), ["event_id"])
