@@ -9,8 +9,9 @@ token under every one. Candidates are verified by their exact intersections.
 2. A shuffle by token finds the exact number of sets that hold each token. Tokens of one set alone are in no intersection;
    they only take places at the front of the prefixes, which leaves most sets without any prefix token to share.
 3. The other tokens return to their sets. Sets with prefix tokens left, or with copies, are written.
-4. For each order, a shuffle by prefix token gives pairs; those that all orders give are the candidates.
-5. Pairs are sent, by blocks of sets with the same least token, to tasks that intersect whole blocks as 0/1 matrices.
+4. A shuffle by prefix token under the first order gives pairs of sets.
+5. Pairs are sent, by blocks of sets with the same least token, to tasks that hold the block's tokens. There the filters of
+   the other orders are intersected with the first one's, and what is left is verified; whole blocks are 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from . import text as X
 from .components import components
 
 ORDERS = 3
+#: Rows of keys up to which they are broadcast to a larger table; beyond it both are shuffled.
+BROADCAST_ROWS = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SLICE = 8 << 20
@@ -172,32 +175,30 @@ def _rank(tok: np.ndarray, df: np.ndarray, k: int) -> np.ndarray:
     return (rare << np.uint64(48)) | (X.mix(tok, 100 + k) & P.TOKEN)
 
 
+def _prefix(tok: np.ndarray, df: np.ndarray, size: int, t: float, k: int) -> np.ndarray:
+    """The tokens of a set's prefix under order k that another set holds too."""
+    length = int(size - _need(np.array([size]), t)[0] + 1 - (size - len(tok)))
+    if length < 1 or not len(tok):
+        return tok[:0]
+    return tok if length >= len(tok) else tok[np.argpartition(_rank(tok, df, k), length - 1)[:length]]
+
+
 def _prefixes(n: int, t: float):
-    """Sets -> for each order (kind), prefix tokens by bucket: (sets, counts, tokens, sizes and families by set)."""
+    """Sets -> prefix tokens under the first order by bucket: (sets, counts, tokens, sizes and families by set)."""
 
     def run(batches):
         def rows():
             for b in batches:
-                held = {k: ([], []) for k in range(ORDERS)}
                 sig, size, fam = (np.asarray(b.column(k)) for k in range(3))
-                for i in range(b.num_rows):
-                    tok, df = P.unsix(b.column(3)[i].as_buffer()), np.frombuffer(b.column(4)[i].as_buffer(), "<u2")
-                    length = int(size[i] - _need(size[i : i + 1], t)[0] + 1 - (size[i] - len(tok)))
-                    if not len(tok) or length < 1:
-                        continue
-                    for k in range(ORDERS):
-                        r = _rank(tok, df, k)
-                        held[k][0].append(tok if length >= len(tok) else tok[np.argpartition(r, length - 1)[:length]])
-                        held[k][1].append(i)
-                for k, (toks, who) in held.items():
-                    if not toks:
-                        continue
-                    owner = np.repeat(who, [len(x) for x in toks])
-                    tok = np.concatenate(toks)
-                    for bucket, at in P.groups((tok % np.uint64(n)).astype(np.int64), n):
-                        f, c = P.runs(owner[at])
-                        o = owner[at][f]
-                        yield bucket * ORDERS + k, k, P.pack(sig[o].view("<u8"), c.astype("<u4"), P.six(tok[at]), size[o].astype("<u4"), fam[o])
+                toks = [_prefix(P.unsix(b.column(3)[i].as_buffer()), np.frombuffer(b.column(4)[i].as_buffer(), "<u2"), int(size[i]), t, 0) for i in range(b.num_rows)]
+                owner = np.repeat(np.arange(b.num_rows), [len(x) for x in toks])
+                if not len(owner):
+                    continue
+                tok = np.concatenate(toks)
+                for bucket, at in P.groups((tok % np.uint64(n)).astype(np.int64), n):
+                    f, c = P.runs(owner[at])
+                    o = owner[at][f]
+                    yield bucket, 0, P.pack(sig[o].view("<u8"), c.astype("<u4"), P.six(tok[at]), size[o].astype("<u4"), fam[o])
 
         yield from P.emit(rows())
 
@@ -205,10 +206,10 @@ def _prefixes(n: int, t: float):
 
 
 def _pairs(t: float):
-    """By order and prefix-token bucket -> distinct pairs of sets that share a token and whose sizes allow t."""
+    """By prefix-token bucket -> distinct pairs of sets that share a token and whose sizes allow t."""
 
     def run(held):
-        for k, blobs in held.items():
+        for blobs in held.values():
             sets, toks, fams, sizes = [], [], [], []
             for blob in blobs:
                 s, c, x, z, f = P.unpack(blob, "<u8", "<u4", None, "<u4", "<i8")
@@ -248,7 +249,7 @@ def _pairs(t: float):
                 x, y = a[lo : lo + 500_000], b[lo : lo + 500_000]
                 f, g = fam[x], fam[y]
                 block = X.mix(np.minimum(f, g).view(np.uint64) * np.uint64(3) + np.maximum(f, g).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(name[x].view(np.int64)), pa.array(name[y].view(np.int64)), pa.array(np.full(len(x), 1 << k, np.int32))], ["block", "a", "b", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(name[x].view(np.int64)), pa.array(name[y].view(np.int64))], ["block", "a", "b"])
 
     return run
 
@@ -256,9 +257,9 @@ def _pairs(t: float):
 _OUT = "docs_a array<long>, docs_b array<long>, common int, size_a int, size_b int, jaccard double"
 
 
-def _common(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _meet(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of members a and b."""
-    if len(a) <= 2 * len(member):
+    if len(a) <= 2:
         return np.array([len(np.intersect1d(member[i], member[j], assume_unique=True)) for i, j in zip(a, b)])
     toks, col = np.unique(np.concatenate(member), return_inverse=True)
     row = np.repeat(np.arange(len(member)), [len(m) for m in member])
@@ -275,44 +276,62 @@ def _common(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def _block(t: float, members: pa.RecordBatch, pairs: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The pairs of one block that pass the other orders' filters and reach t."""
+    name = np.asarray(members.column(2))
+    order = np.argsort(name)
+    a, b = (order[np.searchsorted(name, np.asarray(pairs.column(k)), sorter=order)] for k in (2, 3))
+    size = np.asarray(members.column(4)).astype(np.int64)
+    tok = [P.unsix(x.as_buffer()) for x in members.column(6)]
+    df = [np.frombuffer(x.as_buffer(), "<u2") for x in members.column(7)]
+    for k in range(1, ORDERS):
+        ok = _meet([_prefix(x, d, int(z), t, k) for x, d, z in zip(tok, df, size)], a, b) > 0
+        a, b = a[ok], b[ok]
+        if not len(a):
+            return None
+    common = _meet(tok, a, b)
+    j = common / (size[a] + size[b] - common)
+    ok = np.flatnonzero(j >= t - 1e-12)
+    if not len(ok):
+        return None
+    a, b, common, j = a[ok], b[ok], common[ok], j[ok]
+    ids = members.column(5)
+    first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
+    a, b = np.where(first[a] <= first[b], a, b), np.where(first[a] <= first[b], b, a)
+    cols = [ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(common.astype(np.int32)), pa.array(size[a].astype(np.int32)), pa.array(size[b].astype(np.int32)), pa.array(j)]
+    return pa.RecordBatch.from_arrays(cols, ["docs_a", "docs_b", "common", "size_a", "size_b", "jaccard"])
+
+
 def _verify(t: float):
-    """Rows sorted by block, members before pairs -> pairs that reach t."""
-
-    def solve(rows: list[tuple]):
-        member = {r[2]: k for k, r in enumerate(x for x in rows if x[1] == 0)}
-        held = [r for r in rows if r[1] == 0]
-        pairs = [r for r in rows if r[1] == 1]
-        a, b = np.array([member[r[2]] for r in pairs]), np.array([member[r[3]] for r in pairs])
-        common = _common([P.unsix(r[6]) for r in held], a, b)
-        size = np.array([r[4] for r in held], np.int64)
-        j = common / (size[a] + size[b] - common)
-        for i in np.flatnonzero(j >= t - 1e-12):
-            x, y = held[a[i]], held[b[i]]
-            if y[5][0] < x[5][0]:
-                x, y = y, x
-            yield x[5], y[5], int(common[i]), int(x[4]), int(y[4]), float(j[i])
-
-    def batch(rows):
-        c = list(zip(*rows))
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds)], ["docs_a", "docs_b", "common", "size_a", "size_b", "jaccard"])
+    """Rows sorted by block, members before pairs -> pairs that reach t; holds one block at a time."""
+
+    def solve(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        block, kind = np.asarray(rows.column(0)), np.asarray(rows.column(1))
+        start, size = P.runs(block)
+        for lo, n in zip(start, size):
+            m = int((kind[lo : lo + n] == 0).sum())
+            got = _block(t, rows.slice(lo, m), rows.slice(lo + m, n - m))
+            if got is not None:
+                yield got
 
     def run(batches):
-        block, rows, out = None, [], []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != block:
-                    if rows:
-                        out += solve(rows)
-                        if len(out) > 20_000:
-                            yield batch(out)
-                            out = []
-                    block, rows = r[0], []
-                rows.append(r)
-        if rows:
-            out += solve(rows)
-        if out:
-            yield batch(out)
+            if not b.num_rows:
+                continue
+            block = np.asarray(b.column(0))
+            start, _ = P.runs(block)
+            if held and held[-1].column(0)[-1].as_py() != block[0]:
+                yield from solve(held)
+                held = []
+            last = int(start[-1])
+            if last:
+                yield from solve([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from solve(held)
 
     return run
 
@@ -333,23 +352,21 @@ def join(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
     tokens = texts.mapInArrow(_tokens(buckets, n), P.SCHEMA)
     shared = P.exchange(tokens, buckets, _frequencies(buckets))
     sets = cut(P.exchange(shared, buckets, _sets(threshold), _SETS), "sets")
-    few = max(1, buckets // 8)
+    few = max(1, buckets // 16)
     prefixes = sets.filter(F.octet_length("tokens") > 0).select("set", "size", "family", "tokens", "df").mapInArrow(_prefixes(few, threshold), P.SCHEMA)
-    pairs = P.exchange(prefixes, few * ORDERS, _pairs(threshold), "block long, a long, b long, seen int")
-    candidates = cut(pairs.groupBy("block", "a", "b").agg(F.bit_or("seen").alias("seen")).filter(F.col("seen") == (1 << ORDERS) - 1).drop("seen"), "candidates")
-    who = candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct()
+    pairs = P.exchange(prefixes, few, _pairs(threshold), "block long, a long, b long")
+    candidates = cut(pairs.distinct(), "candidates")
+    who = cut(candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct(), "members")
+    if who.count() <= BROADCAST_ROWS:
+        who = F.broadcast(who)
     none = F.lit(None)
-    members = who.join(sets, "set").select("block", F.lit(0).alias("kind"), "set", none.cast("long").alias("other"), "size", "ids", "tokens")
-    wanted = candidates.select("block", F.lit(1).alias("kind"), F.col("a").alias("set"), F.col("b").alias("other"), none.cast("int").alias("size"), none.cast("array<long>").alias("ids"), none.cast("binary").alias("tokens"))
+    members = sets.join(who, "set").select("block", F.lit(0).alias("kind"), "set", none.cast("long").alias("other"), "size", "ids", "tokens", "df")
+    wanted = candidates.select("block", F.lit(1).alias("kind"), F.col("a").alias("set"), F.col("b").alias("other"), none.cast("int").alias("size"), none.cast("array<long>").alias("ids"), none.cast("binary").alias("tokens"), none.cast("binary").alias("df"))
     near = members.unionByName(wanted).repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(_verify(threshold), _OUT)
     copies = sets.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.col("size").alias("common"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
 
-#: Removed documents up to which their keys are broadcast; beyond it the documents are shuffled to them.
-BROADCAST_ROWS = 1_000_000
-
-
 def keep_one(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
     """The rows of docs, all columns as they are, without all but one document of each group of near duplicates.
 
