@@ -206,7 +206,7 @@ def _search_query(name: str, table: str, word: str, column: str | None):
     ORACLES[name] = f"WITH {_occ(table)}, {O.runs()} SELECT {_HITS} FROM runs WHERE keyword = '{word}'{where}"
 
 
-_search_query("keyword_search_all", "pages", "example.com", None)
+_search_query("keyword_search_all", "pages", "example", None)
 _search_query("keyword_search_column", "documents", "the", "text")
 _search_query("keyword_search_path", "pages", "en", "url")
 _search_query("keyword_absent", "pages", "no-such-token", None)

@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch unless the session sets another number than Spark's default: texts make large rows.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, through Spark's own file distribution."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(), "sparklode.zip")
