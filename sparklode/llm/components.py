@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import text as X
 
 
 def _forest(batches):
@@ -39,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     Tasks thin out their edges to forests; then labels spread to neighbours and jump to their own label's label until
     none changes. Each round is written to the shared folder, so a lost executor costs that round only.
     """
-    thin = edges.filter("u != v").mapInArrow(_forest, "u long, v long")
+    thin = edges.filter("u != v").mapInArrow(X.lean(_forest), "u long, v long")
     both = cut(thin.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct(), "edges")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
     while True:

@@ -208,21 +208,16 @@ def identify(docs: DataFrame, model: Model, min_known: float = 0.3, min_confiden
                 ["doc_id", "lang", "confidence", "known", "n_words", "keep"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(X.lean(run), RESULT)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_known: float = 0.3, min_confidence: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that identify would keep. Columns of any name and type pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.BooleanType())
-    def ok(text):
-        import pandas as pd
-
-        out = []
-        arr = pa.array(text, pa.large_string(), from_pandas=True)
-        for b in X.slices(iter([pa.RecordBatch.from_arrays([arr], ["text"])]), "text"):
-            out.append(decide(shared.value, *X.buffers(b.column(0)), min_known, min_confidence)["keep"])
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    @F.arrow_udf(T.BooleanType())
+    def ok(text: pa.Array) -> pa.Array:
+        out = [decide(shared.value, *X.buffers(b.column(0)), min_known, min_confidence)["keep"] for b in X.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text")]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(ok(F.col("text").cast("string")))

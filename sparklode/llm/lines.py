@@ -9,8 +9,8 @@ both sides over the lines around them, and of each run that occurs again all but
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(around, 2 * reach + 1).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(signed[at]), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32)), lists], ["fp", "doc_id", "copy", "line", "around"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long, doc_id long, copy long, line int, around array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(X.lean(run), "fp long, doc_id long, copy long, line int, around array<long>")
 
 
 def later_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
@@ -94,21 +94,22 @@ def dedup_rows(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     dead = later_runs(docs, min_lines).select(F.struct("doc_id", "copy", "starts").alias("__dead"))
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_deleted", T.IntegerType())])
 
-    @F.pandas_udf(kind)
-    def rewrite(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        out, gone = [], []
-        for t, s in zip(text, starts):
-            if s is None or t is None:
-                out.append(t)
-                gone.append(0)
-                continue
-            parts = t.split("\n")
+    @F.arrow_udf(kind)
+    def rewrite(text: pa.Array, starts: pa.Array) -> pa.Array:
+        at = np.flatnonzero(np.asarray(starts.is_valid()) & np.asarray(text.is_valid()))
+        gone, new = np.zeros(len(text), np.int32), []
+        for i in at.tolist():
+            parts = text[i].as_py().split("\n")
             drop = np.zeros(len(parts), bool)
             for k in range(min_lines):
-                drop[np.asarray(s) + k] = True
-            out.append("\n".join(p for p, d in zip(parts, drop) if not d))
-            gone.append(int(drop.sum()))
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_deleted": pd.Series(gone, dtype="int32")})
+                drop[np.asarray(starts[i].values) + k] = True
+            new.append("\n".join(p for p, d in zip(parts, drop) if not d))
+            gone[i] = drop.sum()
+        if new:
+            mask = np.zeros(len(text), bool)
+            mask[at] = True
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+        return pa.StructArray.from_arrays([text, pa.array(gone)], ["text", "n_deleted"])
 
     row = docs.select(F.struct("*").alias("__row"))
     joined = row.join(dead, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__dead.doc_id")) & (F.xxhash64("__row.text") == F.col("__dead.copy")), "left")

@@ -105,7 +105,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8,
             key = np.concatenate([own.T.ravel(), near.T.ravel()]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(np.arange(len(key)) < own.size)], ["cell", "id", "own"])
 
-    placed = rows.mapInArrow(hashed, "cell long, id long, own boolean")
+    placed = rows.mapInArrow(X.lean(hashed), "cell long, id long, own boolean")
     a, b = placed.select("cell", F.col("id").alias("p"), F.col("own").alias("p_own")), placed.filter("own").select("cell", F.col("id").alias("q"))
     met = a.join(b, "cell").filter("p != q AND (NOT p_own OR p < q)")
     pairs = met.select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b")).distinct()
@@ -120,5 +120,5 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8,
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(cos[ok])], ["vec_a", "vec_b", "cosine"])
 
     both = pairs.join(rows.select(F.col("vec_id").alias("vec_a"), F.col("v").alias("x")), "vec_a").join(rows.select(F.col("vec_id").alias("vec_b"), F.col("v").alias("y")), "vec_b")
-    found = both.select("vec_a", "vec_b", "x", "y").mapInArrow(verify, "vec_a long, vec_b long, cosine double")
+    found = both.select("vec_a", "vec_b", "x", "y").mapInArrow(X.lean(verify), "vec_a long, vec_b long, cosine double")
     return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))

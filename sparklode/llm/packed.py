@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import text as X
+
 SCHEMA = "bucket int, kind int, blob binary"
 #: Low bits of a hash that are kept as a token: six bytes.
 TOKEN = np.uint64((1 << 48) - 1)
@@ -97,4 +99,4 @@ def exchange(df: DataFrame, n: int, reduce: Callable[[dict[int, list]], Iterator
         if held:
             yield from reduce(held)
 
-    return df.repartitionById(n, "bucket").mapInArrow(run, schema)
+    return df.repartitionById(n, "bucket").mapInArrow(X.lean(run), schema)

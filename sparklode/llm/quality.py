@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, seed: int =
             s = statistics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), s.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "q", "x"])
 
-    got = rows.select("doc_id", "text", "q").mapInArrow(run, "doc_id long, q int, x array<double>").toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "text", "q").mapInArrow(X.lean(run), "doc_id long, q int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     return train(x, np.array(got.column("q").to_pylist(), float), **how)
 
@@ -205,4 +205,4 @@ def classify(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame
             p = np.where(s[:, 0] > 0, shared.value.predict(s), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold) & (s[:, 0] > 0))], ["doc_id", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(X.lean(run), "doc_id long, score double, keep boolean")

@@ -22,6 +22,7 @@ from . import text as X
 
 MARK = "▁".encode()
 _UNK_PENALTY = 10.0
+_LATTICE_BYTES = 1 << 18
 
 
 @dataclass
@@ -276,11 +277,17 @@ def encode(v: Vocabulary, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = X.span_hash(X.prefix_hash(data), cut, stop)
     _, example, where = np.unique(h, return_index=True, return_inverse=True)
     s, width = cut[example], (stop - cut)[example]
-    base = np.cumsum(width) - width
-    flat = data[np.repeat(s - base, width) + np.arange(width.sum())]
-    ids, ioff = _solve(v, flat, np.append(base, width.sum()))
-    reps = np.diff(ioff)[where]
-    first = ioff[:-1][where]
+    # Chunks of like length together, in pieces that bound the lattice's memory.
+    order = np.argsort(width, kind="stable")
+    piece = np.cumsum(width[order]) // _LATTICE_BYTES
+    first, reps, ids, done = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), [], 0
+    for k in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+        base = np.cumsum(width[k]) - width[k]
+        got, ioff = _solve(v, data[np.repeat(s[k] - base, width[k]) + np.arange(width[k].sum())], np.append(base, width[k].sum()))
+        first[k], reps[k] = ioff[:-1] + done, np.diff(ioff)
+        ids.append(got)
+        done += len(got)
+    ids, first, reps = np.concatenate(ids), first[where], reps[where]
     out_base = np.cumsum(reps) - reps
     out = ids[np.repeat(first - out_base, reps) + np.arange(reps.sum())]
     at = np.searchsorted(cut, total)
@@ -341,4 +348,4 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
                 ["doc_id", "ids", "n_tokens", "decoded"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(X.lean(run), "doc_id long, ids array<int>, n_tokens long, decoded string")

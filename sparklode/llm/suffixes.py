@@ -68,6 +68,9 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, depth: int, shallow: int
         size = np.diff(np.append(np.flatnonzero(edge), len(live)))
         live = live[np.repeat(size > 1, size)]
     # Blind tries on the rest, all groups at once: one member is the path, the others branch off it.
+    if shallow == depth and len(live):
+        lcp[live[np.append(False, group[live][1:] == group[live][:-1])]] = depth
+        live = live[:0]
     while len(live):
         g = group[live]
         edge = np.append(True, g[1:] != g[:-1])
@@ -125,7 +128,7 @@ def _places(n: int, min_words: int, gram: int):
 
     def run(batches):
         def rows():
-            for b in X.slices(batches, "text", 8 << 20):
+            for b in X.slices(batches, "text", 2 << 20):
                 data, off = X.buffers(b.column(1))
                 _, bounds, _, m, g = _owners(data, off, min_words, gram)
                 if not len(m):
@@ -176,7 +179,7 @@ def _texts(n: int):
 
     def run(batches):
         def rows():
-            for b in X.slices(batches, "text", 8 << 20):
+            for b in X.slices(batches, "text", 2 << 20):
                 data, off = X.buffers(b.column(2))
                 ids, text = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
                 size = np.diff(off)
@@ -334,6 +337,6 @@ def repeats(docs: DataFrame, min_words: int = 50, gram: int = 16) -> DataFrame:
     """
     n = P.partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND length(text) > 0")
-    again = P.exchange(rows.select("hash", "text").mapInArrow(_places(n, min_words, gram), P.SCHEMA), n, _again(n))
-    regions = P.exchange(rows.mapInArrow(_texts(n), P.SCHEMA).unionByName(again), n, _regions(n, min_words, gram))
+    again = P.exchange(rows.select("hash", "text").mapInArrow(X.lean(_places(n, min_words, gram)), P.SCHEMA), n, _again(n))
+    regions = P.exchange(rows.mapInArrow(X.lean(_texts(n)), P.SCHEMA).unionByName(again), n, _regions(n, min_words, gram))
     return P.exchange(P.exchange(regions, n, _sort(n, min_words)), n, _spans(min_words), _SCHEMA)

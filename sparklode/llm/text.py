@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -30,6 +33,23 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving freed memory back to the system at its end: idle Python workers stay with their executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(ctypes.util.find_library("c"))
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser: spreads 64-bit values; another seed gives an independent order."""
     h = h ^ np.uint64((seed * _BASE + seed) & 0xFFFFFFFFFFFFFFFF)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import text as X
 from .vectors import matrix, usable
 
 _SLACK = 1e-6
@@ -132,7 +133,7 @@ def nearest(table: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
             })
 
     sized = rows.repartitionByRange(n_blocks, *key, "vec_id")
-    blocks = cut(sized.mapInArrow(pack, "block string, blob binary, reach double, low array<double>, high array<double>"), "blocks")
+    blocks = cut(sized.mapInArrow(X.lean(pack), "block string, blob binary, reach double, low array<double>, high array<double>"), "blocks")
     frame = blocks.select("block", "reach", "low", "high")
     other = frame.select(F.col("block").alias("there"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     widths = [2 * len({int(e) for e in np.linspace(0, d, n + 1)[1:]}) for n in levels(d)]
@@ -158,4 +159,4 @@ def nearest(table: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
         if best is not None:
             yield best.rows()
 
-    return sent.repartition(n_blocks, "block").sortWithinPartitions("block", "gap", "there").mapInArrow(search, "vec_id long, rank int, neighbour long, distance double")
+    return sent.repartition(n_blocks, "block").sortWithinPartitions("block", "gap", "there").mapInArrow(X.lean(search), "vec_id long, rank int, neighbour long, distance double")

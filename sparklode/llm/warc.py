@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, scratch
+from . import text as X
 
 _READ = 1 << 16
 #: Bytes of rows gathered before they leave a task's Python worker.
@@ -145,7 +146,7 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
     rows = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return cut(rows.mapInArrow(run, "path string, records long"), "warc-files")
+    return cut(rows.mapInArrow(X.lean(run), "path string, records long"), "warc-files")
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("uri", pa.string()), ("http_status", pa.int32()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("payload", pa.binary()), ("sha1", pa.string()), ("last", pa.bool_())])
@@ -179,7 +180,7 @@ def read(paths: DataFrame, chunk_bytes: int = 1 << 14) -> DataFrame:
             yield batch()
 
     n = max(1, min(paths.count(), 100_000))
-    return paths.select("path").repartition(n).mapInArrow(run, _DDL)
+    return paths.select("path").repartition(n).mapInArrow(X.lean(run), _DDL)
 
 
 def roundtrip(pages: DataFrame, chunk_bytes: int = 1 << 14) -> DataFrame:
