@@ -31,7 +31,7 @@ ORDERS = 3
 BROADCAST_ROWS = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +261,10 @@ def _meet(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of members a and b."""
     if len(a) <= 2:
         return np.array([len(np.intersect1d(member[i], member[j], assume_unique=True)) for i, j in zip(a, b)])
-    toks, col = np.unique(np.concatenate(member), return_inverse=True)
-    row = np.repeat(np.arange(len(member)), [len(m) for m in member])
+    flat, row = np.concatenate(member), np.repeat(np.arange(len(member)), [len(m) for m in member])
+    toks, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what one member alone has is in no intersection
+    row, col, toks = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]], toks[shared]
     out = np.zeros(len(a), np.int64)
     width = max(1, 4_000_000 // len(member))
     for lo in range(0, len(toks), width):
@@ -336,6 +338,20 @@ def _verify(t: float):
     return run
 
 
+#: Sets in a block beyond which it is split into pairs of parts of half as many.
+BLOCK_SETS = 1024
+
+
+def _split(candidates: DataFrame) -> DataFrame:
+    """candidates, those of large blocks in blocks of their own for each pair of the sets' parts."""
+    members = candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct()
+    large = cut(members.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_SETS).select("block", F.ceil(F.col("n") / (BLOCK_SETS // 2)).alias("parts")), "large-blocks")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    part = F.xxhash64("block", F.pmod(F.xxhash64("a"), F.col("parts")), F.pmod(F.xxhash64("b"), F.col("parts")))
+    return candidates.join(large, "block", "left").select(F.when(F.col("parts").isNull(), F.col("block")).otherwise(part).alias("block"), "a", "b")
+
+
 def join(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
     """(docs_a, docs_b, common, size_a, size_b, jaccard): all pairs of documents whose sets of word n-grams have a Jaccard
     similarity of at least threshold.
@@ -349,20 +365,20 @@ def join(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
     """
     buckets = P.partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    tokens = texts.mapInArrow(_tokens(buckets, n), P.SCHEMA)
+    tokens = texts.mapInArrow(X.lean(_tokens(buckets, n)), P.SCHEMA)
     shared = P.exchange(tokens, buckets, _frequencies(buckets))
     sets = cut(P.exchange(shared, buckets, _sets(threshold), _SETS), "sets")
     few = max(1, buckets // 16)
-    prefixes = sets.filter(F.octet_length("tokens") > 0).select("set", "size", "family", "tokens", "df").mapInArrow(_prefixes(few, threshold), P.SCHEMA)
+    prefixes = sets.filter(F.octet_length("tokens") > 0).select("set", "size", "family", "tokens", "df").mapInArrow(X.lean(_prefixes(few, threshold)), P.SCHEMA)
     pairs = P.exchange(prefixes, few, _pairs(threshold), "block long, a long, b long")
-    candidates = cut(pairs.distinct(), "candidates")
+    candidates = _split(cut(pairs.distinct(), "candidates"))
     who = cut(candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct(), "members")
     if who.count() <= BROADCAST_ROWS:
         who = F.broadcast(who)
     none = F.lit(None)
     members = sets.join(who, "set").select("block", F.lit(0).alias("kind"), "set", none.cast("long").alias("other"), "size", "ids", "tokens", "df")
     wanted = candidates.select("block", F.lit(1).alias("kind"), F.col("a").alias("set"), F.col("b").alias("other"), none.cast("int").alias("size"), none.cast("array<long>").alias("ids"), none.cast("binary").alias("tokens"), none.cast("binary").alias("df"))
-    near = members.unionByName(wanted).repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(_verify(threshold), _OUT)
+    near = members.unionByName(wanted).repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(X.lean(_verify(threshold)), _OUT)
     copies = sets.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.col("size").alias("common"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
