@@ -300,15 +300,15 @@ def rows_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_occ('orders')} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT key FROM occ WHERE keyword = 'URGENT' AND column_name = 'o_orderpriority')")
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.keyword(index_of(spark, sf_dir, "orders").posting, "URGENT", "o_orderpriority")
-    return fetch.rows(spark, f"{sf_dir}/orders.parquet", hits).drop("o_orderdate")
+    i = index_of(spark, sf_dir, "orders")
+    return fetch.rows(spark, i.table, search.keyword(i.posting, "URGENT", "o_orderpriority"), row_groups=i.row_groups).drop("o_orderdate")
 
 
 @query(f"WITH {_occ('events')} SELECT event_id, event_type FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
 def fetch_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns of the hit rows; a column that the table lacks is ignored."""
-    hits = search.keyword(index_of(spark, sf_dir, "events").posting, *_TWO)
-    return fetch.rows(spark, f"{sf_dir}/events.parquet", hits, ["event_id", "event_type", "nowhere"])
+    i = index_of(spark, sf_dir, "events")
+    return fetch.rows(spark, i.table, search.keyword(i.posting, *_TWO), ["event_id", "event_type", "nowhere"], i.row_groups)
 
 
 @query(f"WITH {_occ('pages')}, {O.phrase_status('example.com/en', K.split_phrase('example.com/en'), K.phrase_level('example.com/en'), 'url')} SELECT p.page_id, p.url FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS row FROM pages) p WHERE row IN (SELECT row FROM status WHERE confirmed OR needs_verification)")
@@ -346,8 +346,8 @@ _TERMS = [("BUILDING", "c_mktsegment"), ("Customer", "c_name")]
 @query(f"WITH {_occ('customer')}, {_rows('customer', *_TERMS)} SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer) WHERE row IN (SELECT row FROM r0 INTERSECT SELECT row FROM r1)")
 def multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with several tokens in given columns: searches, AND, fetch."""
-    p = index_of(spark, sf_dir, "customer").posting
-    return fetch.rows(spark, f"{sf_dir}/customer.parquet", combine.all_of([search.keyword(p, w, c) for w, c in _TERMS]))
+    i = index_of(spark, sf_dir, "customer")
+    return fetch.rows(spark, i.table, combine.all_of([search.keyword(i.posting, w, c) for w, c in _TERMS]), row_groups=i.row_groups)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(p_brand, 'Brand#3')")
@@ -369,4 +369,5 @@ def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_occ('events')} SELECT event_id FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
 def flagship_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fetch.rows(spark, f"{sf_dir}/events.parquet", search.keyword(index_of(spark, sf_dir, "events").posting, *_TWO), ["event_id"])
+    i = index_of(spark, sf_dir, "events")
+    return fetch.rows(spark, i.table, search.keyword(i.posting, *_TWO), ["event_id"], i.row_groups)

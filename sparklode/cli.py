@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         hits.groupBy("column_name", "status").agg(F.sum(F.col("end_row") - F.col("start_row") + 1).alias("rows")).orderBy("column_name", "status").show(1000, truncate=False)
         fetch.pruning(i.row_groups, hits).show(truncate=False)
         if a.rows:
-            fetch.rows(spark, a.table, hits, a.select).show(a.rows, truncate=False)
+            fetch.rows(spark, a.table, hits, a.select, i.row_groups).show(a.rows, truncate=False)
         return 0
     except (FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)

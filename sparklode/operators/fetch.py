@@ -10,15 +10,25 @@ from .postings import to_rows
 from .search import hit_rows
 
 
-def rows(spark: SparkSession, path: str, hits: DataFrame, columns: list[str] | None = None) -> DataFrame:
+#: Files with hits up to which the scan is told their names; beyond it all files are opened.
+NAMED_FILES = 10_000
+
+
+def rows(spark: SparkSession, path: str, hits: DataFrame, columns: list[str] | None = None, row_groups: DataFrame | None = None) -> DataFrame:
     """The rows of the table at path in any range of hits (file_path, row_group, start_row, end_row), each once, with all
-    or the given columns. Unknown columns are ignored; if none is known, ValueError."""
+    or the given columns. Unknown columns are ignored; if none is known, ValueError. row_groups: those of an index, which
+    spares reading the footers. Files without a hit are not read."""
     table = spark.read.parquet(path)
     keep = table.columns if columns is None else [c for c in columns if c in table.columns]
     if not keep:
         raise ValueError(f"the table has none of the columns {columns}")
     wanted = to_rows(hits.select("file_path", "row_group", "start_row", "end_row"), "row_in_group").select(*ADDRESS).distinct()
-    return addressed(spark, table.select(*[f"`{c}`" for c in keep])).join(wanted, ADDRESS, "left_semi").select(*[f"`{c}`" for c in keep])
+    files = [r["file_path"] for r in hits.select("file_path").distinct().limit(NAMED_FILES + 1).collect()]
+    scan = table.select(*[f"`{c}`" for c in keep])
+    if len(files) <= NAMED_FILES:
+        names = files + [f.replace("file:///", "file:/", 1) for f in files if f.startswith("file:///")]
+        scan = scan.filter(F.col("_metadata.file_path").isin(names) if names else F.lit(False))
+    return addressed(spark, scan, row_groups).join(wanted, ADDRESS, "left_semi").select(*[f"`{c}`" for c in keep])
 
 
 def pruning(row_groups: DataFrame, hits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import LEVELS
+from ..session import cut
 from ..sources.cells import cells, row_groups
 from . import filters, postings
 from .shred import shred
@@ -64,7 +65,7 @@ def build(spark: SparkSession, path: str, index_path: str | None = None, columns
 
     bloom = {"parquet.bloom.filter.enabled#keyword": "true", "parquet.bloom.filter.expected.ndv#keyword": "200000", "parquet.enable.dictionary": "true", "parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10)}
     save(build_postings(spark, path, columns, exclude), "posting", **bloom)
-    params, bitmaps, sets = filters.build(index.posting.select("column_name", "keyword").distinct(), error_rate)
+    params, bitmaps, sets = filters.build(cut(index.posting.select("column_name", "keyword").distinct(), "names"), error_rate)
     save(params, "filter")
     save(bitmaps, "bitmap")
     save(sets, "set")

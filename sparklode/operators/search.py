@@ -111,7 +111,7 @@ def phrase_strict(index: Index, text: str, column: str | None = None) -> DataFra
     columns = [c for c in meta if column is None or c == column]
     spark, roots = index.spark, sorted({c.split(".")[0] for c in columns})
     table = spark.read.parquet(index.table)
-    base = addressed(spark, table.select(*[f"`{c}`" for c in roots]))
+    base = addressed(spark, table.select(*[f"`{c}`" for c in roots]), index.row_groups)
     if tests:
         postings = index.posting if column is None else index.posting.filter(F.col("column_name") == column)
         any_test = tests[0]

@@ -67,10 +67,12 @@ def leaves(schema: T.StructType, prefix: str = "", at: Column | None = None) ->
     return out
 
 
-def addressed(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """table with the address of each row: file, row group, and row within the group."""
+def addressed(spark: SparkSession, table: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """table with the address of each row: file, row group, and row within the group. groups: row_groups of the table, if
+    they are at hand, as in a saved index."""
     meta = table.select("*", file_path().alias("file_path"), F.col("_metadata.row_index").alias("__row"))
-    rg = cut(row_groups(spark, table).select(F.col("file_path").alias("__file"), "row_group", "first_row", "num_rows"), "row-groups")
+    rg = cut(row_groups(spark, table), "row-groups") if groups is None else groups
+    rg = rg.select(F.col("file_path").alias("__file"), "row_group", "first_row", "num_rows")
     if rg.count() <= BROADCAST_ROWS:
         rg = F.broadcast(rg)
     at = (F.col("file_path") == F.col("__file")) & (F.col("__row") >= F.col("first_row")) & (F.col("__row") < F.col("first_row") + F.col("num_rows"))
