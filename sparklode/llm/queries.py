@@ -68,7 +68,7 @@ WHERE total_tokens <= floor((SELECT sum(n_tokens) FROM base) * 0.5)
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose sets of word trigrams have a Jaccard similarity of at least 0.7."""
-    return jaccard.join(_read(spark, sf_dir, "documents"))
+    return jaccard.join(_read(spark, sf_dir, "documents")).select("docs_a", "docs_b", "jaccard")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,21 @@ SELECT record_id, uri, chunk_no, CAST(chunk_no AS BIGINT) * 16384 AS "offset", C
 FROM cut
 """
 
+ORACLES["op5_suffix_array"] = """
+WITH listed AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM listed WHERE len(ws) >= 50),
+passage AS (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS h, count(*) OVER w AS n
+  FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+ranked AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS places, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r
+  FROM passage WHERE n = 50),
+marked AS (SELECT doc_id, 'repeated' AS kind, i FROM ranked WHERE places > 1 UNION ALL SELECT doc_id, 'later', i FROM ranked WHERE r > 1),
+edge AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, kind ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM marked),
+span AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kind ORDER BY i) AS s FROM edge)
+SELECT doc_id, kind, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT) AS end_word FROM span GROUP BY doc_id, kind, s
+"""
+
 ORACLES["op6_topk"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
