@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text as X
 
@@ -215,9 +214,10 @@ def keep_identified(docs: DataFrame, model: Model, min_known: float = 0.3, min_c
     """The rows of docs, all columns as they are, that identify would keep. Columns of any name and type pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(T.BooleanType())
-    def ok(text: pa.Array) -> pa.Array:
-        out = [decide(shared.value, *X.buffers(b.column(0)), min_known, min_confidence)["keep"] for b in X.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text")]
-        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+    at = [c.lower() for c in docs.columns].index("text")
 
-    return docs.filter(ok(F.col("text").cast("string")))
+    def run(batches):
+        for b in X.slices(batches, at):
+            yield b.filter(pa.array(decide(shared.value, *X.buffers(b.column(at)), min_known, min_confidence)["keep"]))
+
+    return docs.mapInArrow(X.lean(run), docs.schema)

@@ -13,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text as X
 
@@ -89,31 +88,29 @@ def later_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     return hit.join(first, "run").filter(F.col("at") > F.col("first")).groupBy("at.doc_id", "at.copy").agg(F.collect_set("at.start").alias("starts"))
 
 
-def dedup_rows(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(row, text, n_deleted): every row of docs as a struct, its text without the repeated runs, and the lines deleted."""
+def _rewrite(text: pa.Array, starts: pa.Array, min_lines: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts without the runs that begin at starts, and the numbers of lines deleted."""
+    at = np.flatnonzero(np.asarray(starts.is_valid()) & np.asarray(text.is_valid()))
+    gone, new = np.zeros(len(text), np.int32), []
+    for i in at.tolist():
+        parts = text[i].as_py().split("\n")
+        drop = np.zeros(len(parts), bool)
+        for k in range(min_lines):
+            drop[np.asarray(starts[i].values) + k] = True
+        new.append("\n".join(p for p, d in zip(parts, drop) if not d))
+        gone[i] = drop.sum()
+    if new:
+        mask = np.zeros(len(text), bool)
+        mask[at] = True
+        text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+    return text, gone
+
+
+def _with_runs(docs: DataFrame, min_lines: int) -> DataFrame:
+    """(__row, __dead): every row of docs as a struct, and where its later runs start."""
     dead = later_runs(docs, min_lines).select(F.struct("doc_id", "copy", "starts").alias("__dead"))
-    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_deleted", T.IntegerType())])
-
-    @F.arrow_udf(kind)
-    def rewrite(text: pa.Array, starts: pa.Array) -> pa.Array:
-        at = np.flatnonzero(np.asarray(starts.is_valid()) & np.asarray(text.is_valid()))
-        gone, new = np.zeros(len(text), np.int32), []
-        for i in at.tolist():
-            parts = text[i].as_py().split("\n")
-            drop = np.zeros(len(parts), bool)
-            for k in range(min_lines):
-                drop[np.asarray(starts[i].values) + k] = True
-            new.append("\n".join(p for p, d in zip(parts, drop) if not d))
-            gone[i] = drop.sum()
-        if new:
-            mask = np.zeros(len(text), bool)
-            mask[at] = True
-            text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
-        return pa.StructArray.from_arrays([text, pa.array(gone)], ["text", "n_deleted"])
-
     row = docs.select(F.struct("*").alias("__row"))
-    joined = row.join(dead, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__dead.doc_id")) & (F.xxhash64("__row.text") == F.col("__dead.copy")), "left")
-    return joined.select(F.col("__row").alias("row"), rewrite(F.col("__row.text").cast("string"), F.col("__dead.starts")).alias("new")).select("row", "new.text", "new.n_deleted")
+    return row.join(dead, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__dead.doc_id")) & (F.xxhash64("__row.text") == F.col("__dead.copy")), "left")
 
 
 def dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
@@ -125,18 +122,32 @@ def dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     document with fewer lines stays as it is, so do null and empty texts. Rows that are equal in doc_id and text are one
     document and get the same result. Other columns are ignored. An empty table gives an empty result.
     """
-    return dedup_rows(docs, min_lines).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "n_deleted")
+
+    def run(batches):
+        for b in batches:
+            text, gone = _rewrite(b.column(1), b.column(2), min_lines)
+            yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(gone)], ["doc_id", "text", "n_deleted"])
+
+    rows = _with_runs(docs, min_lines).select(F.col("__row.doc_id").cast("long").alias("doc_id"), F.col("__row.text").cast("string").alias("text"), F.col("__dead.starts").alias("starts"))
+    return rows.mapInArrow(X.lean(run), "doc_id long, text string, n_deleted int")
 
 
 def dedup_documents(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     """The rows of docs with the text of dedup; n_chars follows. Rows that lose every line, later copies, are left out."""
-    done = dedup_rows(docs, min_lines).filter("n_deleted = 0 OR length(trim(BOTH ' \t\n\r' FROM text)) > 0")
-    cols = []
-    for f in docs.schema.fields:
-        value = F.col("row").getField(f.name)
-        if f.name == "text":
-            value = F.when(F.col("n_deleted") > 0, F.col("text")).otherwise(value)
-        elif f.name == "n_chars":
-            value = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(value)
-        cols.append(value.cast(f.dataType).alias(f.name))
-    return done.select(*cols)
+    names = [c.lower() for c in docs.columns]
+    extra = next(x for x in ("starts" + "_" * k for k in range(len(names) + 1)) if x not in names)
+    at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for b in batches:
+            cols = b.columns
+            text, gone = _rewrite(cols[at], cols[-1], min_lines)
+            cols[at] = text
+            some = pa.array(gone > 0)
+            if length is not None:
+                cols[length] = pc.if_else(some, pc.utf8_length(text).cast(cols[length].type), cols[length])
+            keep = pc.or_(pc.invert(some), pc.fill_null(pc.greater(pc.utf8_length(pc.utf8_trim(text, " \t\n\r")), 0), False))
+            yield pa.RecordBatch.from_arrays(cols[:-1], b.schema.names[:-1]).filter(keep)
+
+    rows = _with_runs(docs, min_lines).select(*[F.col("__row").getField(f.name).alias(f.name) for f in docs.schema.fields], F.col("__dead.starts").alias(extra))
+    return rows.mapInArrow(X.lean(run), docs.schema)

@@ -75,12 +75,12 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, in pieces of at most limit bytes of text or one row."""
     for b in batches:
         if not b.num_rows:
             continue
-        _, off = buffers(b.column(b.schema.get_field_index(column)))
+        _, off = buffers(b.column(column))
         lo = 0
         while lo < b.num_rows:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
