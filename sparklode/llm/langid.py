@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import text as X
 
 RESULT = "doc_id long, lang string, confidence double, known double, n_words long, keep boolean"
+#: Letters of an n-gram from which it makes a word known.
+SURE = 3
 _TOP = 0x110000
 _SEED = np.random.default_rng(7).integers(1, 2**63, _TOP, dtype=np.uint64) | np.uint64(1)
 _tables: list[np.ndarray] = []
@@ -136,7 +138,8 @@ def _model(langs: list[str], lang: list[str], word: list[str], n: np.ndarray, n_
 
 
 def score(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By text: summed log scores by language, number of words, number of words that were scored."""
+    """By text: summed log scores by language, number of words, number of known words: those that were scored as words or
+    by n-grams of at least SURE letters. Shorter n-grams fit words of almost any language in the same script."""
     cps, start, end, bounds = _letter_runs(data, off)
     n_docs, n_lang = len(off) - 1, len(model.langs)
     n_words = np.diff(bounds)
@@ -144,9 +147,9 @@ def score(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
         return np.zeros((n_docs, n_lang)), n_words, np.zeros(n_docs, np.int64)
     h = X.span_hash(_hash(cps), start, end)
     distinct, example, back = np.unique(h, return_index=True, return_inverse=True)
-    scores, done = np.zeros((len(distinct), n_lang)), np.zeros(len(distinct), bool)
+    scores, done, sure = np.zeros((len(distinct), n_lang)), np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     hit, at = _lookup(model.words, distinct)
-    scores[hit], done[hit] = model.words[1][at[hit]], True
+    scores[hit], done[hit], sure[hit] = model.words[1][at[hit]], True, True
     for n in sorted(model.grams, reverse=True):
         left = np.flatnonzero(~done)
         if not len(left):
@@ -167,11 +170,13 @@ def score(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
             v = np.bincount(owner[known], weights=model.grams[n][1][at[known], k], minlength=len(left))
             scores[left[covered], k] = v[covered] / share[covered]
         done[left[covered]] = True
+        if n >= SURE:
+            sure[left[covered]] = True
     out = np.zeros((n_docs, n_lang))
     doc = np.repeat(np.arange(n_docs), n_words)
     for k in range(n_lang):
         out[:, k] = np.bincount(doc, weights=scores[back, k], minlength=n_docs)
-    return out, n_words, np.bincount(doc, weights=done[back], minlength=n_docs).astype(np.int64)
+    return out, n_words, np.bincount(doc, weights=sure[back], minlength=n_docs).astype(np.int64)
 
 
 def decide(model: Model, data: np.ndarray, off: np.ndarray, min_known: float, min_confidence: float) -> dict[str, np.ndarray]:
@@ -190,11 +195,11 @@ def decide(model: Model, data: np.ndarray, off: np.ndarray, min_known: float, mi
 
 
 def identify(docs: DataFrame, model: Model, min_known: float = 0.3, min_confidence: float = 0.5) -> DataFrame:
-    """One row for each document: predicted language, its posterior, the share of words that could be scored, keep.
+    """One row for each document: predicted language, its posterior, the share of its words that are known, keep.
 
-    keep is false, and the document is rejected, if fewer than min_known of its words could be scored at any backoff
-    level or the best language's posterior is under min_confidence. A null or empty text, or one without letters, has
-    a null language, 0 words and is rejected. Repeated rows each get their own row; other columns are ignored. Map
+    keep is false, and the document is rejected, if less than min_known of its words are known, as in a language that
+    training has not seen, or the best language's posterior is under min_confidence. A null or empty text, or one without
+    letters, has a null language, 0 words and is rejected, as has one without any known word. Repeated rows each get their own row; other columns are ignored. Map
     side only: no shuffle, the model is the one broadcast and its size is bounded by the parameters of fit.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

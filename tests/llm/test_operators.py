@@ -369,6 +369,14 @@ def test_backoff_from_words_to_shorter_grams():
     assert d["n_words"].tolist() == [1, 1, 2, 1, 0, 0]
 
 
+def test_unseen_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(0)
+    strange = [" ".join("".join(rng.choice("qxzjkvwy") for _ in range(rng.randint(4, 9))) for _ in range(50)), "Ὅμηρος ἔγραψε τὴν Ἰλιάδα καὶ τὴν Ὀδύσσειαν", "漢字 仮名 交じり 文"]
+    assert not langid.decide(model, *X.buffers(pa.array(strange)), 0.3, 0.5)["keep"].any()
+
+
 def test_language_edges(spark, hard):
     texts, df = hard
     model = langid.fit(df)
