@@ -18,6 +18,9 @@ from . import text as X
 from .vectors import matrix, usable
 
 _SLACK = 1e-6
+_FAR = np.finfo(np.float64).max
+#: Share of pairs that a level lets through from which finer levels are left out: the exact distances cost less.
+_DENSE = 0.9
 
 
 def levels(d: int) -> list[int]:
@@ -64,13 +67,18 @@ class _Best:
                 ok = _sq(mine[q], theirs[c]) <= bound[:, None]
                 keep, c = ok.any(1), c[ok.any(0)]
                 q, bound = q[keep], bound[keep]
+                if ok.mean() > _DENSE:
+                    break
             if not len(q) or not len(c):
                 continue
             rough = _sq(self.x[q], y[c])
             rough[self.ids[q][:, None] == ids[c][None, :]] = np.inf
-            near = min(self.k, len(c))
-            limit = np.minimum(bound, np.partition(rough, near - 1, axis=1)[:, near - 1] * (1 + _SLACK) + _SLACK)
-            r, col = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
+            ok = rough <= np.minimum(bound, _FAR)[:, None]
+            if ok.sum() > 16 * self.k * len(q):
+                near = min(self.k, len(c))
+                limit = np.minimum(bound, np.partition(rough, near - 1, axis=1)[:, near - 1] * (1 + _SLACK) + _SLACK)
+                ok &= rough <= limit[:, None]
+            r, col = np.nonzero(ok)
             exact = np.sqrt(((self.x[q[r]] - y[c[col]]) ** 2).sum(1))
             row = np.concatenate([np.repeat(np.arange(len(q)), self.k), r])
             dist = np.concatenate([self.dist[q].ravel(), exact])
