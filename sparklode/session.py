@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
@@ -11,27 +12,30 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-
-
 #: Rows of an Arrow batch unless the session sets another number than Spark's default: texts make large rows.
 BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, through Spark's own file distribution."""
+    """Send this package to the executors once per application, through the shared folder and Spark's file distribution."""
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
-        path = os.path.join(tempfile.mkdtemp(), "sparklode.zip")
-        with zipfile.ZipFile(path, "w") as z:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for folder, _, files in os.walk(here):
                 for f in files:
                     if f.endswith(".py"):
                         full = os.path.join(folder, f)
                         z.write(full, os.path.join("sparklode", os.path.relpath(full, here)))
-        sc.addPyFile(path)
+        uri = scratch(spark, "package") + "/sparklode.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        sc.addPyFile(uri)
         _shipped.add(sc.applicationId)
     return spark
 
