@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import text as X
 from .vectors import matrix, usable
 
@@ -105,7 +106,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8,
             key = np.concatenate([own.T.ravel(), near.T.ravel()]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(np.arange(len(key)) < own.size)], ["cell", "id", "own"])
 
-    placed = rows.mapInArrow(X.lean(hashed), "cell long, id long, own boolean")
+    placed = cut(rows.mapInArrow(X.lean(hashed), "cell long, id long, own boolean"), "cells")
     a, b = placed.select("cell", F.col("id").alias("p"), F.col("own").alias("p_own")), placed.filter("own").select("cell", F.col("id").alias("q"))
     met = a.join(b, "cell").filter("p != q AND (NOT p_own OR p < q)")
     pairs = met.select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b")).distinct()
