@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.cells import ADDRESS, addressed
+from ..sources.cells import ADDRESS, BROADCAST_ROWS, addressed
 from .postings import to_rows
 from .search import hit_rows
 
 
 #: Files with hits up to which the scan is told their names; beyond it all files are opened.
 NAMED_FILES = 10_000
+#: Ranges of hits up to which the driver holds them; beyond it the join computes them where they are.
+LOCAL_RANGES = 10_000
 
 
 def rows(spark: SparkSession, path: str, hits: DataFrame, columns: list[str] | None = None, row_groups: DataFrame | None = None) -> DataFrame:
@@ -22,8 +24,16 @@ def rows(spark: SparkSession, path: str, hits: DataFrame, columns: list[str] | N
     keep = table.columns if columns is None else [c for c in columns if c in table.columns]
     if not keep:
         raise ValueError(f"the table has none of the columns {columns}")
-    wanted = to_rows(hits.select("file_path", "row_group", "start_row", "end_row"), "row_in_group").select(*ADDRESS).distinct()
-    files = [r["file_path"] for r in hits.select("file_path").distinct().limit(NAMED_FILES + 1).collect()]
+    hits = hits.select("file_path", "row_group", "start_row", "end_row")
+    few = hits.limit(LOCAL_RANGES + 1).collect()
+    if len(few) <= LOCAL_RANGES:  # the search ran; it need not run again for the join
+        files = sorted({r["file_path"] for r in few})
+        wanted = to_rows(spark.createDataFrame(few, hits.schema), "row_in_group").select(*ADDRESS).distinct()
+        if sum(r["end_row"] - r["start_row"] + 1 for r in few) <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+    else:
+        files = [r["file_path"] for r in hits.select("file_path").distinct().limit(NAMED_FILES + 1).collect()]
+        wanted = to_rows(hits, "row_in_group").select(*ADDRESS).distinct()
     scan = table.select(*[f"`{c}`" for c in keep])
     if len(files) <= NAMED_FILES:
         names = files + [f.replace("file:///", "file:/", 1) for f in files if f.startswith("file:///")]
