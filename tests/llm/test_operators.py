@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparklode.llm import components, jaccard, langid, lines, mixing, neardup_vectors, quality, sentencepiece, suffixes, topk, vectors, warc
+from sparklode.llm import components, jaccard, langid, lines, mixing, neardup_vectors, quality, queries, sentencepiece, suffixes, topk, vectors, warc
 from sparklode.llm import packed as P
 from sparklode.llm import text as X
 
@@ -218,6 +218,22 @@ def test_large_groups_of_copies_and_near_copies(spark):
     assert got.keys() == brute.jaccard_pairs(dict(texts), 0.7).keys()
 
 
+def test_op3_finds_copies_with_a_tenth_of_the_words_changed(spark, tmp_path):
+    rng = random.Random(10)
+    texts, planted = [], set()
+    for changed in (3, 4, 5, 6, 6, 6):
+        base = sentence(rng, 60, 10**6).split()
+        near = list(base)
+        for k in range(changed):
+            near[4 + k * (54 // changed)] = f"new{k}"
+        planted.add((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(near)]
+    texts = list(enumerate(texts))
+    table(spark, texts, False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = pairs_of(queries.op3_jaccard(spark, str(tmp_path)))
+    assert got.keys() == planted == brute.jaccard_pairs(dict(texts), 0.5).keys() and min(got.values()) < 0.6
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
