@@ -10,6 +10,8 @@ from sparklode.session import cut, ship
 
 #: The share of the tokens that the mixture takes. Sources that run out before give all they have.
 BUDGET_SHARE = 0.9
+#: Words from which a repeated run of one or two lines goes too; as many as a repeated passage of op5 has.
+LONG_RUN = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes runs of lines that occur earlier; documents that lose every line go."""
+    """Deletes runs of three lines, or of LONG_RUN words, that occur earlier; documents that lose every line go."""
     ship(spark)
-    return lines.dedup_documents(docs)
+    return lines.dedup_documents(docs, min_words=LONG_RUN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 In every window of min_lines consecutive lines the line with the least hash (the last of equals) is selected. A run of
 that many lines which two places share has its window's minimum selected in both, so the selected positions are
 fingerprints that no repeated run escapes. Positions with a fingerprint that occurs once drop out; the others extend to
-both sides over the lines around them, and of each run that occurs again all but the first occurrence are deleted.
+both sides over the lines around them, and of each run that occurs again all but the first occurrence are deleted. Runs of
+fewer lines count where they are long in words, if a number of words is given.
 """
 
 from __future__ import annotations
@@ -88,6 +89,37 @@ def later_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     return hit.join(first, "run").filter(F.col("at") > F.col("first")).groupBy("at.doc_id", "at.copy").agg(F.collect_set("at.start").alias("starts"))
 
 
+def later_long_runs(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, copy, gone): by document, the lines of all runs of fewer than min_lines lines, but at least min_words words,
+    that occur earlier. Such runs are few enough to be compared without winnowing."""
+
+    def run(batches):
+        for b in X.slices(batches, "text"):
+            data, off = X.buffers(b.column(2))
+            start, end, bounds = line_spans(data, off)
+            h = X.span_hash(X.prefix_hash(data), start, end)
+            word = X.words(data, off)[0]
+            n = np.searchsorted(word, end) - np.searchsorted(word, start)
+            doc = np.searchsorted(bounds, np.arange(len(h)), "right") - 1
+            for t in range(1, min_lines):
+                last = len(h) - t + 1
+                if last < 1:
+                    break
+                whole, total = np.full(last, t, np.uint64), np.zeros(last, np.int64)
+                for k in range(t):
+                    whole = X.mix(whole * np.uint64(3) + h[k : k + last], k + 1)
+                    total += n[k : k + last]
+                at = np.flatnonzero((total >= min_words) & (doc[:last] == doc[t - 1 :]))
+                own = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)[at]), b.column(0).take(own), b.column(1).take(own), pa.array((at - bounds[doc[at]]).astype(np.int32)), pa.array(np.full(len(at), t, np.int32))], ["run", "doc_id", "copy", "start", "lines"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    hit = texts.mapInArrow(X.lean(run), "run long, doc_id long, copy long, start int, lines int").select("run", F.struct("doc_id", "copy", "start").alias("at"), "lines")
+    first = hit.groupBy("run").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
+    later = hit.join(first, "run").filter(F.col("at") > F.col("first"))
+    return later.groupBy("at.doc_id", "at.copy").agg(F.flatten(F.collect_set(F.sequence("at.start", F.col("at.start") + F.col("lines") - 1))).alias("gone"))
+
+
 def _rewrite(text: pa.Array, starts: pa.Array, min_lines: int) -> tuple[pa.Array, np.ndarray]:
     """Texts without the runs that begin at starts, and the numbers of lines deleted."""
     at = np.flatnonzero(np.asarray(starts.is_valid()) & np.asarray(text.is_valid()))
@@ -106,34 +138,41 @@ def _rewrite(text: pa.Array, starts: pa.Array, min_lines: int) -> tuple[pa.Array
     return text, gone
 
 
-def _with_runs(docs: DataFrame, min_lines: int) -> DataFrame:
-    """(__row, __dead): every row of docs as a struct, and where its later runs start."""
-    dead = later_runs(docs, min_lines).select(F.struct("doc_id", "copy", "starts").alias("__dead"))
+def _with_runs(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """(__row, __dead): every row of docs as a struct, and where its later runs start; with min_words each of their lines."""
+    dead = later_runs(docs, min_lines)
+    if min_words is not None:
+        each = dead.select("doc_id", "copy", F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))).alias("gone"))
+        both = each.unionByName(later_long_runs(docs, min_lines, min_words))
+        dead = both.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("starts"))
+    dead = dead.select(F.struct("doc_id", "copy", "starts").alias("__dead"))
     row = docs.select(F.struct("*").alias("__row"))
     return row.join(dead, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__dead.doc_id")) & (F.xxhash64("__row.text") == F.col("__dead.copy")), "left")
 
 
-def dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """(doc_id, text, n_deleted) for every document: its text without the lines of runs of at least min_lines lines that
-    occur earlier in the corpus.
+    occur earlier in the corpus; with min_words also without the shorter runs of at least that many words.
 
     Lines are what newlines separate, compared byte by byte. Earlier means a lower doc_id (null first; of equal ids the
     lower text hash) or further up in the same text; of a run that overlaps itself the first min_lines lines stay. A
-    document with fewer lines stays as it is, so do null and empty texts. Rows that are equal in doc_id and text are one
+    document with fewer lines stays as it is unless min_words is given, so do null and empty texts. Rows that are equal in doc_id and text are one
     document and get the same result. Other columns are ignored. An empty table gives an empty result.
     """
+    span = min_lines if min_words is None else 1
 
     def run(batches):
         for b in batches:
-            text, gone = _rewrite(b.column(1), b.column(2), min_lines)
+            text, gone = _rewrite(b.column(1), b.column(2), span)
             yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(gone)], ["doc_id", "text", "n_deleted"])
 
-    rows = _with_runs(docs, min_lines).select(F.col("__row.doc_id").cast("long").alias("doc_id"), F.col("__row.text").cast("string").alias("text"), F.col("__dead.starts").alias("starts"))
+    rows = _with_runs(docs, min_lines, min_words).select(F.col("__row.doc_id").cast("long").alias("doc_id"), F.col("__row.text").cast("string").alias("text"), F.col("__dead.starts").alias("starts"))
     return rows.mapInArrow(X.lean(run), "doc_id long, text string, n_deleted int")
 
 
-def dedup_documents(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def dedup_documents(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """The rows of docs with the text of dedup; n_chars follows. Rows that lose every line, later copies, are left out."""
+    span = min_lines if min_words is None else 1
     names = [c.lower() for c in docs.columns]
     extra = next(x for x in ("starts" + "_" * k for k in range(len(names) + 1)) if x not in names)
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -141,7 +180,7 @@ def dedup_documents(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     def run(batches):
         for b in batches:
             cols = b.columns
-            text, gone = _rewrite(cols[at], cols[-1], min_lines)
+            text, gone = _rewrite(cols[at], cols[-1], span)
             cols[at] = text
             some = pa.array(gone > 0)
             if length is not None:
@@ -149,5 +188,5 @@ def dedup_documents(docs: DataFrame, min_lines: int = 3) -> DataFrame:
             keep = pc.or_(pc.invert(some), pc.fill_null(pc.greater(pc.utf8_length(pc.utf8_trim(text, " \t\n\r")), 0), False))
             yield pa.RecordBatch.from_arrays(cols[:-1], b.schema.names[:-1]).filter(keep)
 
-    rows = _with_runs(docs, min_lines).select(*[F.col("__row").getField(f.name).alias(f.name) for f in docs.schema.fields], F.col("__dead.starts").alias(extra))
+    rows = _with_runs(docs, min_lines, min_words).select(*[F.col("__row").getField(f.name).alias(f.name) for f in docs.schema.fields], F.col("__dead.starts").alias(extra))
     return rows.mapInArrow(X.lean(run), docs.schema)

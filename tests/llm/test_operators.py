@@ -428,6 +428,36 @@ def test_line_dedup_edges(spark):
     assert lines.dedup(empty(spark)).count() == 0 and lines.dedup_documents(empty(spark)).columns == empty(spark).columns
 
 
+def test_long_runs_of_few_lines_go(spark, hard):
+    rng = random.Random(12)
+    pool = [sentence(rng, n) for n in (1, 2, 9, 12, 20, 30)]
+    texts = [t for _, t in hard[0]] + ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    want, seen = {}, set()
+    for k, t in enumerate(texts):
+        parts, dead = (t or "").split("\n"), set()
+        for i, n in itertools.product(range(len(parts)), (1, 2, 3)):
+            run = tuple(parts[i : i + n])
+            if t and len(run) == n and (n == 3 or len(brute.words("\n".join(run))) >= 20):
+                dead |= set(range(i, i + n)) if run in seen else set()
+                seen.add(run)
+        want[k] = "\n".join(p for i, p in enumerate(parts) if i not in dead) if t else t
+    df = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup(df, min_words=20).collect()}
+    assert {k: t for k, (t, _) in got.items()} == want and got[1] == ("", 1)
+    kept = {r.doc_id: r.text for r in lines.dedup_documents(df, min_words=20).collect()}
+    assert kept == {k: t for k, t in want.items() if t == texts[k] or t.strip()}
+    assert lines.dedup(empty(spark), min_words=20).count() == 0
+
+
+def test_pipeline_deletes_long_single_lines(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(13)
+    long = sentence(rng, 60, 10**6)
+    docs = table(spark, [(0, "a\n" + long), (1, "b\n" + long + "\nOf."), (2, "c\nOf."), (3, long)], False)
+    assert {r.doc_id: r.text for r in C.line_dedup(spark, docs, "").collect()} == {0: "a\n" + long, 1: "b\nOf.", 2: "c\nOf."}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 4, 500).astype(np.uint64)
