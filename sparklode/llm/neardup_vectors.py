@@ -84,9 +84,12 @@ def cells(u: np.ndarray, tables: int, blocks: int, scale: float, probes: int, se
     return np.column_stack(own), np.column_stack(near) if near else np.zeros((len(u), 0), np.uint64)
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8, blocks: int = 2, scale: float = 4.0, probes: int = 2, seed: int = 3) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8, blocks: int = 2, scale: float | None = None, probes: int = 2, seed: int = 3) -> DataFrame:
     """(vec_a, vec_b, cosine), vec_a < vec_b: pairs of different ids whose vectors have at least that cosine.
 
+    scale stretches the projections to the lattice; if it isn't given, it follows the dimension, 4 at 64, since a projection
+    on 8 of d dimensions shortens distances by the root of 8 / d.
+
     Approximate in what it finds, exact in what it returns; every row is looked up, and no cell is cut short. Rows with a
     null id, a null, empty or zero vector, one of another than the most frequent length, or one with null or infinite
     elements have no partner. Repeated rows count once; where one id has several vectors the greatest cosine counts.
@@ -94,6 +97,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tables: int = 8,
     """
     rows, d = usable(table)
     rows = rows.filter(F.exists("v", lambda x: x != 0)).distinct()
+    scale = 4.0 * np.sqrt(max(8, d) / 64) if scale is None else scale
 
     def hashed(batches):
         for b in batches:

@@ -539,3 +539,15 @@ def test_lattice_recall(spark):
     s = u @ u.T
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.95, 1)))}
     assert set(got) <= want and len(got) >= 0.95 * len(want) and all(abs(got[k] - s[k]) < 1e-9 for k in got)
+
+
+@pytest.mark.parametrize("d", [8, 16])
+def test_lattice_recall_at_other_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    x, r = rng.normal(size=(2, 300, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= (r * x).sum(1, keepdims=True) * x
+    y = 0.955 * x + math.sqrt(1 - 0.955**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<float>")
+    got = {(q.vec_a, q.vec_b) for q in neardup_vectors.near_duplicates(df).collect()}
+    assert sum((i, i + 300) in got for i in range(300)) >= 0.95 * 300
