@@ -34,13 +34,41 @@ def _forest(batches):
             yield b.take(pa.array(np.array(keep, np.int64)))
 
 
+#: Edges of all tasks' forests up to which one task joins them; beyond it labels spread in rounds.
+ONE_TASK = 1_000_000
+
+
+def _roots(batches):
+    """(node, root) of the edges of one task, without regard to their order."""
+    u, v = [], []
+    for b in batches:
+        u.append(np.asarray(b.column(0)))
+        v.append(np.asarray(b.column(1)))
+    if not u:
+        return
+    node, end = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+    a, b = np.split(end, 2)
+    root = np.arange(len(node))
+    while True:
+        least = np.minimum(root[a], root[b])
+        if (least == root[a]).all() and (least == root[b]).all():
+            break
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (u, v), both long: root is the least node of its component.
 
-    Tasks thin out their edges to forests; then labels spread to neighbours and jump to their own label's label until
-    none changes. Each round is written to the shared folder, so a lost executor costs that round only.
+    An edge with a null end is none. Tasks thin out their edges to forests. If those are few, one task joins them; else
+    labels spread to neighbours and jump to their own label's label until none changes. Each round is written to the
+    shared folder, so a lost executor costs that round only.
     """
-    thin = edges.filter("u != v").mapInArrow(X.lean(_forest), "u long, v long")
+    thin = cut(edges.filter("u != v").mapInArrow(X.lean(_forest), "u long, v long"), "forest")
+    if thin.count() <= ONE_TASK:
+        return cut(thin.coalesce(1).mapInArrow(X.lean(_roots), "node long, root long"), "labels")
     both = cut(thin.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct(), "edges")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
     while True:

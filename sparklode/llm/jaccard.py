@@ -5,13 +5,16 @@ order of tokens the first |x| - ceil(t |x|) + 1 tokens of each share one. The jo
 rarer tokens first, with different orders among the equally rare, and a pair is a candidate only if it shares a prefix
 token under every one. Candidates are verified by their exact intersections.
 
-1. Documents become sets of 48-bit tokens. A set is known by the hash of its tokens, so copies are one set with many ids.
-2. A shuffle by token finds the exact number of sets that hold each token. Tokens of one set alone are in no intersection;
-   they only take places at the front of the prefixes, which leaves most sets without any prefix token to share.
-3. The other tokens return to their sets. Sets with prefix tokens left, or with copies, are written.
-4. A shuffle by prefix token under the first order gives pairs of sets.
+1. Documents become sets of 48-bit tokens, each known by the hash of its tokens: copies are one set. A first pass writes
+   every document's set, counts the copies, and finds the hot tokens, those of a large share of all documents.
+2. A shuffle by token finds the exact number of sets that hold each other token. Tokens of one set alone are in no
+   intersection; they only take places at the front of the prefixes, which leaves most sets without any prefix token to
+   share. Hot tokens come last in every order and are not shuffled by token, so no task gathers their holders.
+3. The tokens return to their sets. Sets with prefix tokens left are written.
+4. A shuffle by prefix token under the first order gives pairs of sets; a token of many sets is split into pairs of parts.
 5. Pairs are sent, by blocks of sets with the same least token, to tasks that hold the block's tokens. There the filters of
-   the other orders are intersected with the first one's, and what is left is verified; whole blocks are 0/1 matrices.
+   the other orders are intersected with the first one's, and what is left is verified; whole blocks are 0/1 matrices. A
+   block returns each set's number of links and a spanning forest of them, so what comes out grows with the sets.
 """
 
 from __future__ import annotations
@@ -24,11 +27,17 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import packed as P
 from . import text as X
-from .components import components
+from .blocks import by_block, classes, forest
 
 ORDERS = 3
 #: Rows of keys up to which they are broadcast to a larger table; beyond it both are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Share of the documents, and number of them at least, from which a token is hot; the most that are sent to all tasks, the
+#: commonest first. What is not hot is shuffled by token.
+HOT_SHARE, HOT_LEAST, HOT_TOKENS = 1 / 200, 10_000, 2_000_000
+#: Sets of one prefix token that a task pairs at once.
+GROUP = 1024
+_HOT = np.uint32(0xFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SLICE = 2 << 20
@@ -58,26 +67,63 @@ def _need(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-def _tokens(n: int, gram: int):
-    """docs -> tokens by token bucket (kind 0: sets, counts, tokens) and ids by set bucket (kind 1: ids, sets, sizes)."""
+def _named(gram: int, least: int):
+    """docs -> (0, doc_id, set, size) of every document, set null without words, and (1, token, null, texts) of the tokens
+    that at least one in fifty of a slice's texts, and least of them, hold."""
 
     def run(batches):
+        for b in X.slices(batches, "text", _SLICE):
+            tok, doc = gram_sets(*X.buffers(b.column(1)), gram)
+            first, size = P.runs(doc)
+            sets, sizes, none = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), np.ones(b.num_rows, bool)
+            if len(tok):
+                own = doc[first]
+                sets[own], sizes[own], none[own] = signature(tok, first, size), size, False
+            toks, held = np.unique(tok, return_counts=True)
+            many = held >= max(least, b.num_rows / 50)
+            toks, held = toks[many], held[many]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.array([0, 1], np.int32), [b.num_rows, len(toks)])), pa.concat_arrays([b.column(0), pa.array(toks.view(np.int64))]),
+                pa.concat_arrays([pa.array(sets.view(np.int64), mask=none), pa.nulls(len(toks), pa.int64())]), pa.array(np.concatenate([sizes, held]).astype(np.int32)),
+            ], ["kind", "key", "set", "size"])
+
+    return run
+
+
+def signature(tok: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of sets laid end to end."""
+    return X.mix(np.add.reduceat(X.mix(tok, 5), first) + size.astype(np.uint64))
+
+
+def _tokens(n: int, gram: int, shared):
+    """docs -> tokens by token bucket (kind 0: sets, counts, tokens), and sets by set bucket (kind 1: sets, sizes, numbers
+    of hot tokens, hot tokens). shared: the hot tokens, sorted."""
+
+    def run(batches):
+        hot = shared.value
+
         def rows():
             for b in X.slices(batches, "text", _SLICE):
-                tok, doc = gram_sets(*X.buffers(b.column(1)), gram)
+                tok, doc = gram_sets(*X.buffers(b.column(0)), gram)
                 if not len(tok):
                     continue
                 first, size = P.runs(doc)
-                sig = X.mix(np.add.reduceat(X.mix(tok, 5), first) + size.astype(np.uint64))
-                ids = np.asarray(b.column(0))[doc[first]]
-                for k, at in P.groups((sig % np.uint64(n)).astype(np.int64), n):
-                    yield k, 1, P.pack(ids[at].astype("<i8"), sig[at], size[at].astype("<u4"))
+                sig = signature(tok, first, size)
                 _, once = np.unique(sig, return_index=True)
                 if len(once) < len(sig):
                     keep = np.zeros(len(sig), bool)
                     keep[once] = True
                     tok, sig, size = tok[np.repeat(keep, size)], sig[keep], size[keep]
                 owner = np.repeat(np.arange(len(sig)), size)
+                known = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok if len(hot) else np.zeros(len(tok), bool)
+                n_hot = np.bincount(owner[known], minlength=len(sig))
+                bucket = (sig % np.uint64(n)).astype(np.int64)
+                order = np.argsort(bucket[owner[known]], kind="stable")
+                hot_tok, hot_bucket = tok[known][order], bucket[owner[known]][order]
+                for k, at in P.groups(bucket, n):
+                    lo, hi = np.searchsorted(hot_bucket, [k, k + 1])
+                    yield k, 1, P.pack(sig[at], size[at].astype("<u4"), n_hot[at].astype("<u4"), P.six(hot_tok[lo:hi]))
+                tok, owner = tok[~known], owner[~known]
                 for k, at in P.groups((tok % np.uint64(n)).astype(np.int64), n):
                     f, c = P.runs(owner[at])
                     yield k, 0, P.pack(sig[owner[at][f]], c.astype("<u4"), P.six(tok[at]))
@@ -105,7 +151,7 @@ def _frequencies(n: int):
     def run(held):
         def rows():
             for blob in held.get(1, []):
-                yield int(P.unpack(blob, "<i8", "<u8")[1][0] % np.uint64(n)), 1, blob.to_pybytes()
+                yield int(P.unpack(blob, "<u8")[0][0] % np.uint64(n)), 1, blob.to_pybytes()
             sets, toks = _entries(held.get(0, []))
             order = np.argsort(toks)
             toks, sets = toks[order], sets[order]
@@ -120,7 +166,7 @@ def _frequencies(n: int):
             df = np.repeat(size, size)
             toks, sets, df = toks[df > 1], sets[df > 1], df[df > 1]
             order = np.argsort(sets, kind="stable")
-            toks, sets, df = toks[order], sets[order], np.minimum(df[order], 65535).astype("<u2")
+            toks, sets, df = toks[order], sets[order], df[order].astype("<u4")
             for k, at in P.groups((sets % np.uint64(n)).astype(np.int64), n):
                 f, c = P.runs(sets[at])
                 yield k, 0, P.pack(sets[at][f], c.astype("<u4"), P.six(toks[at]), df[at])
@@ -130,41 +176,34 @@ def _frequencies(n: int):
     return run
 
 
-_SETS = "set long, size int, ids array<long>, family long, tokens binary, df binary"
+_SETS = "set long, size int, family long, tokens binary, df binary"
 
 
 def _sets(t: float):
-    """By set bucket -> sets that have copies, or enough shared tokens for a partner; ids ascend."""
+    """By set bucket -> sets that have enough shared tokens for a partner."""
 
     def run(held):
-        parts = [P.unpack(b, "<i8", "<u8", "<u4") for b in held.get(1, [])]
-        ids, sig, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((ids, sig))
-        ids, sig, size = ids[order], sig[order], size[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1]))
-        ids, sig, size = ids[new], sig[new], size[new]
-        first, copies = P.runs(sig)
-        owner, toks, df = _entries(held.get(0, []), "<u2")
+        parts = [P.unpack(b, "<u8", "<u4", "<u4", None) for b in held.get(1, [])]
+        sig, size, n_hot = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        hot = np.concatenate([P.unsix(p[3]) for p in parts])
+        sig, once = np.unique(sig, return_index=True)
+        size = size[once]
+        end = np.cumsum(n_hot.astype(np.int64))
+        n_hot, lo = n_hot[once].astype(np.int64), end[once] - n_hot[once]
+        hot = hot[np.repeat(lo - np.cumsum(n_hot) + n_hot, n_hot) + np.arange(n_hot.sum())]
+        owner, toks, df = _entries(held.get(0, []), "<u4")
+        owner, toks, df = np.concatenate([owner, np.repeat(sig, n_hot)]), np.concatenate([toks, hot]), np.concatenate([df, np.full(len(hot), _HOT)])
         order = np.argsort(owner, kind="stable")
         owner, toks, df = owner[order], toks[order], df[order]
-        lo = np.searchsorted(owner, sig[first], "left")
-        hi = np.searchsorted(owner, sig[first], "right")
-        partner = (hi - lo >= _need(size[first], t)) & (hi > lo)
-        out = np.flatnonzero(partner | (copies > 1))
+        lo, hi = np.searchsorted(owner, sig, "left"), np.searchsorted(owner, sig, "right")
+        out = np.flatnonzero((hi - lo >= _need(size, t)) & (hi > lo))
         for at in range(0, len(out), 2000):
-            rows = {"set": [], "size": [], "ids": [], "family": [], "tokens": [], "df": []}
-            for i in out[at : at + 2000]:
-                x = toks[lo[i] : hi[i]] if partner[i] else toks[:0]
-                rows["set"].append(int(sig[first[i]].astype(np.int64)))
-                rows["size"].append(int(size[first[i]]))
-                rows["ids"].append(ids[first[i] : first[i] + copies[i]])
-                rows["family"].append(int(X.mix(x, 9).min().astype(np.int64)) if len(x) else 0)
-                rows["tokens"].append(P.six(x))
-                rows["df"].append(df[lo[i] : hi[i]].tobytes() if partner[i] else b"")
+            some = out[at : at + 2000]
+            held_toks = [toks[lo[i] : hi[i]] for i in some]
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows["set"], pa.int64()), pa.array(rows["size"], pa.int32()), pa.array(rows["ids"], pa.list_(pa.int64())), pa.array(rows["family"], pa.int64()),
-                pa.array(rows["tokens"], pa.binary()), pa.array(rows["df"], pa.binary()),
-            ], ["set", "size", "ids", "family", "tokens", "df"])
+                pa.array(sig[some].view(np.int64)), pa.array(size[some].astype(np.int32)), pa.array([int(X.mix(x, 9).min().astype(np.int64)) for x in held_toks], pa.int64()),
+                pa.array([P.six(x) for x in held_toks], pa.binary()), pa.array([df[lo[i] : hi[i]].tobytes() for i in some], pa.binary()),
+            ], ["set", "size", "family", "tokens", "df"])
 
     return run
 
@@ -172,15 +211,18 @@ def _sets(t: float):
 def _rank(tok: np.ndarray, df: np.ndarray, k: int) -> np.ndarray:
     """The place of tokens in global order k: rarer first, the first order by exact and the others by rough frequency."""
     rare = df.astype(np.uint64) if k == 0 else np.floor(np.log2(df)).astype(np.uint64)
-    return (rare << np.uint64(48)) | (X.mix(tok, 100 + k) & P.TOKEN)
+    return (rare << np.uint64(32)) | (X.mix(tok, 100 + k) >> np.uint64(32))
 
 
 def _prefix(tok: np.ndarray, df: np.ndarray, size: int, t: float, k: int) -> np.ndarray:
-    """The tokens of a set's prefix under order k that another set holds too."""
+    """The tokens of a set's prefix under order k that another set holds too; tokens of equal place belong to it together."""
     length = int(size - _need(np.array([size]), t)[0] + 1 - (size - len(tok)))
     if length < 1 or not len(tok):
         return tok[:0]
-    return tok if length >= len(tok) else tok[np.argpartition(_rank(tok, df, k), length - 1)[:length]]
+    if length >= len(tok):
+        return tok
+    rank = _rank(tok, df, k)
+    return tok[rank <= np.partition(rank, length - 1)[length - 1]]
 
 
 def _prefixes(n: int, t: float):
@@ -190,7 +232,7 @@ def _prefixes(n: int, t: float):
         def rows():
             for b in batches:
                 sig, size, fam = (np.asarray(b.column(k)) for k in range(3))
-                toks = [_prefix(P.unsix(b.column(3)[i].as_buffer()), np.frombuffer(b.column(4)[i].as_buffer(), "<u2"), int(size[i]), t, 0) for i in range(b.num_rows)]
+                toks = [_prefix(P.unsix(b.column(3)[i].as_buffer()), np.frombuffer(b.column(4)[i].as_buffer(), "<u4"), int(size[i]), t, 0) for i in range(b.num_rows)]
                 owner = np.repeat(np.arange(b.num_rows), [len(x) for x in toks])
                 if not len(owner):
                     continue
@@ -205,56 +247,95 @@ def _prefixes(n: int, t: float):
     return run
 
 
-def _pairs(t: float):
-    """By prefix-token bucket -> distinct pairs of sets that share a token and whose sizes allow t."""
+def _units(n: int):
+    """By prefix-token bucket -> what a task pairs at once: the tokens of up to GROUP sets together (kind 0), each pair of
+    parts of a token of more sets by itself, in a bucket of its own (kind 1: sets, sizes, families, size of the first part)."""
 
     def run(held):
-        for blobs in held.values():
-            sets, toks, fams, sizes = [], [], [], []
-            for blob in blobs:
+        def rows():
+            sets, toks, sizes, fams = [], [], [], []
+            for blob in held.get(0, []):
                 s, c, x, z, f = P.unpack(blob, "<u8", "<u4", None, "<u4", "<i8")
                 toks.append(P.unsix(x))
                 sets.append(np.repeat(s, c))
                 sizes.append(np.repeat(z, c))
                 fams.append(np.repeat(f, c))
-            sets, toks, fams, sizes = (np.concatenate(a) for a in (sets, toks, fams, sizes))
-            name, where, local = np.unique(sets, return_index=True, return_inverse=True)
-            size, fam = sizes[where].astype(np.int64), fams[where]
-            order = np.lexsort((size[local], toks))
-            toks, local = toks[order], local[order].astype(np.uint64)
+            sets, toks, sizes, fams = (np.concatenate(a) for a in (sets, toks, sizes, fams))
+            order = np.argsort(toks, kind="stable")
+            sets, toks, sizes, fams = sets[order], toks[order], sizes[order], fams[order]
             start, length = P.runs(toks)
-            found, held_n = [], 0
-            for d in np.unique(length[length > 1]):
-                at = start[length == d]
-                step = max(1, 4_000_000 // int(d * d))
-                if d <= 1500:
-                    i, j = np.triu_indices(d, 1)
-                    blocks = [(at[lo : lo + step], i, j) for lo in range(0, len(at), step)]
-                else:
-                    blocks = [(at[m : m + 1], np.repeat(i, d), np.tile(np.arange(d), len(i))) for m in range(len(at)) for i in (np.arange(lo, min(lo + 1000, d)) for lo in range(0, d, 1000))]
-                for rows, i, j in blocks:
-                    a, b = local[rows[:, None] + i].ravel(), local[rows[:, None] + j].ravel()
-                    ok = (a != b) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9)
-                    a, b = a[ok], b[ok]
-                    found.append(np.unique((np.minimum(a, b) << np.uint64(32)) | np.maximum(a, b)))
-                    held_n += len(found[-1])
-                    if held_n > 6_000_000:
-                        found = [np.unique(np.concatenate(found))]
-                        held_n = len(found[0]) // 2
-            if not found:
-                continue
-            pair = np.unique(np.concatenate(found))
-            a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            for lo in range(0, len(a), 500_000):
-                x, y = a[lo : lo + 500_000], b[lo : lo + 500_000]
-                f, g = fam[x], fam[y]
-                block = X.mix(np.minimum(f, g).view(np.uint64) * np.uint64(3) + np.maximum(f, g).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(name[x].view(np.int64)), pa.array(name[y].view(np.int64))], ["block", "a", "b"])
+            few = np.repeat((length > 1) & (length <= GROUP), length)
+            if few.any():
+                yield int(toks[0] % np.uint64(n)), 0, P.pack(sets[few], P.six(toks[few]), sizes[few], fams[few])
+            half = GROUP // 2
+            for k in np.flatnonzero(length > GROUP):
+                parts = [slice(lo, min(lo + half, start[k] + length[k])) for lo in range(start[k], start[k] + length[k], half)]
+                for i, p in enumerate(parts):
+                    for j, q in enumerate(parts[i:], i):
+                        at = np.r_[p] if i == j else np.r_[p, q]
+                        to = int(X.mix(np.array([toks[start[k]] + np.uint64(i * len(parts) + j)]), 3)[0] % np.uint64(n))
+                        yield to, 1, P.pack(sets[at], sizes[at], fams[at], np.array([p.stop - p.start if i < j else 0], "<i8"))
+
+        yield from P.emit(rows())
 
     return run
 
 
-_OUT = "docs_a array<long>, docs_b array<long>, common int, size_a int, size_b int, jaccard double"
+def _pairs(t: float):
+    """Units -> pairs of sets that share a token and whose sizes allow t, distinct within a task."""
+
+    def out(name: np.ndarray, fam: np.ndarray, pair: np.ndarray):
+        a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for lo in range(0, len(a), 500_000):
+            x, y = a[lo : lo + 500_000], b[lo : lo + 500_000]
+            f, g = fam[x], fam[y]
+            block = X.mix(np.minimum(f, g).view(np.uint64) * np.uint64(3) + np.maximum(f, g).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(name[x].view(np.int64)), pa.array(name[y].view(np.int64))], ["block", "a", "b"])
+
+    def run(held):
+        sets, toks, sizes, fams, split = [], [], [], [], []
+        for blob in held.get(0, []):
+            s, x, z, f = P.unpack(blob, "<u8", None, "<u4", "<i8")
+            for r, v in zip((sets, toks, sizes, fams), (s, P.unsix(x), z, f)):
+                r.append(v)
+        for blob in held.get(1, []):
+            s, z, f, cut_at = P.unpack(blob, "<u8", "<u4", "<i8", "<i8")
+            split.append((len(s), int(cut_at[0])))
+            for r, v in zip((sets, toks, sizes, fams), (s, np.zeros(len(s), np.uint64), z, f)):
+                r.append(v)
+        sets, toks, sizes, fams = (np.concatenate(a) for a in (sets, toks, sizes, fams))
+        n_few = len(sets) - sum(n for n, _ in split)
+        name, where, local = np.unique(sets, return_index=True, return_inverse=True)
+        size, fam = sizes[where].astype(np.int64), fams[where]
+        found, held_n = [], 0
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal found, held_n
+            ok = (a != b) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9)
+            a, b = a[ok].astype(np.uint64), b[ok].astype(np.uint64)
+            found.append(np.unique((np.minimum(a, b) << np.uint64(32)) | np.maximum(a, b)))
+            held_n += len(found[-1])
+            if held_n > 6_000_000:
+                found = [np.unique(np.concatenate(found))]
+                held_n = len(found[0]) // 2
+
+        order = np.argsort(toks[:n_few], kind="stable")
+        few = local[:n_few][order]
+        start, length = P.runs(toks[:n_few][order])
+        for d in np.unique(length):
+            at, (i, j), step = start[length == d], np.triu_indices(d, 1), max(1, 4_000_000 // int(d * d))
+            for lo in range(0, len(at), step):
+                add(few[at[lo : lo + step, None] + i].ravel(), few[at[lo : lo + step, None] + j].ravel())
+        at = n_few
+        for n, first in split:
+            own = local[at : at + n]
+            at += n
+            i, j = np.triu_indices(n, 1) if not first else (np.repeat(np.arange(first), n - first), np.tile(np.arange(first, n), first))
+            add(own[i], own[j])
+        if found:
+            yield from out(name, fam, np.unique(np.concatenate(found)))
+
+    return run
 
 
 def _meet(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -278,62 +359,24 @@ def _meet(member: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(t: float, members: pa.RecordBatch, pairs: pa.RecordBatch) -> pa.RecordBatch | None:
-    """The pairs of one block that pass the other orders' filters and reach t."""
-    name = np.asarray(members.column(2))
-    order = np.argsort(name)
-    a, b = (order[np.searchsorted(name, np.asarray(pairs.column(k)), sorter=order)] for k in (2, 3))
-    size = np.asarray(members.column(4)).astype(np.int64)
-    tok = [P.unsix(x.as_buffer()) for x in members.column(6)]
-    df = [np.frombuffer(x.as_buffer(), "<u2") for x in members.column(7)]
-    for k in range(1, ORDERS):
-        ok = _meet([_prefix(x, d, int(z), t, k) for x, d, z in zip(tok, df, size)], a, b) > 0
-        a, b = a[ok], b[ok]
-        if not len(a):
-            return None
-    common = _meet(tok, a, b)
-    j = common / (size[a] + size[b] - common)
-    ok = np.flatnonzero(j >= t - 1e-12)
-    if not len(ok):
-        return None
-    a, b, common, j = a[ok], b[ok], common[ok], j[ok]
-    ids = members.column(5)
-    first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
-    a, b = np.where(first[a] <= first[b], a, b), np.where(first[a] <= first[b], b, a)
-    cols = [ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(common.astype(np.int32)), pa.array(size[a].astype(np.int32)), pa.array(size[b].astype(np.int32)), pa.array(j)]
-    return pa.RecordBatch.from_arrays(cols, ["docs_a", "docs_b", "common", "size_a", "size_b", "jaccard"])
-
-
-def _verify(t: float):
-    """Rows sorted by block, members before pairs -> pairs that reach t; holds one block at a time."""
-
-    def solve(parts: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        block, kind = np.asarray(rows.column(0)), np.asarray(rows.column(1))
-        start, size = P.runs(block)
-        for lo, n in zip(start, size):
-            m = int((kind[lo : lo + n] == 0).sum())
-            got = _block(t, rows.slice(lo, m), rows.slice(lo + m, n - m))
-            if got is not None:
-                yield got
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            block = np.asarray(b.column(0))
-            start, _ = P.runs(block)
-            if held and held[-1].column(0)[-1].as_py() != block[0]:
-                yield from solve(held)
-                held = []
-            last = int(start[-1])
-            if last:
-                yield from solve([*held, b.slice(0, last)])
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from solve(held)
+def _block(t: float):
+    """(members, pairs) of one block -> the links of those pairs that pass the other orders' filters and reach t."""
+
+    def run(members: pa.RecordBatch, pairs: pa.RecordBatch) -> pa.RecordBatch | None:
+        name = np.asarray(members.column(2))
+        order = np.argsort(name)
+        a, b = (order[np.searchsorted(name, np.asarray(pairs.column(k)), sorter=order)] for k in (2, 3))
+        size = np.asarray(members.column(4)).astype(np.int64)
+        tok = [P.unsix(x.as_buffer()) for x in members.column(6)]
+        df = [np.frombuffer(x.as_buffer(), "<u4") for x in members.column(7)]
+        for k in range(1, ORDERS):
+            ok = _meet([_prefix(x, d, int(z), t, k) for x, d, z in zip(tok, df, size)], a, b) > 0
+            a, b = a[ok], b[ok]
+            if not len(a):
+                return None
+        common = _meet(tok, a, b)
+        ok = common / (size[a] + size[b] - common) >= t - 1e-12
+        return forest(name, np.asarray(members.column(5)), a[ok], b[ok])
 
     return run
 
@@ -352,51 +395,53 @@ def _split(candidates: DataFrame) -> DataFrame:
     return candidates.join(large, "block", "left").select(F.when(F.col("parts").isNull(), F.col("block")).otherwise(part).alias("block"), "a", "b")
 
 
-def join(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
-    """(docs_a, docs_b, common, size_a, size_b, jaccard): all pairs of documents whose sets of word n-grams have a Jaccard
-    similarity of at least threshold.
+def links(docs: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
+    """(doc_id, class_id, n_links), one row for each doc_id: links are to the documents whose sets of word n-grams have a
+    Jaccard similarity of at least threshold with its own, copies included; class_id is the least doc_id that links lead to.
 
-    Documents with equal sets are one entry, so a row stands for all pairs of a document of docs_a with one of docs_b
-    (lists of ascending doc_ids, the list with the lower first id first); a row in which the lists are equal, with
-    similarity 1, stands for the pairs within it. Words are what ASCII white space separates, ASCII letters in lower case.
-    A text of fewer than n words has one n-gram, all of it; a null text, or one without words, has no partner. Neither
-    has a null doc_id. Repeated rows (same doc_id and set) count once; other columns are ignored. Exact up to collisions
-    of the 48-bit tokens. An empty table gives no rows.
+    Words are what ASCII white space separates, ASCII letters in lower case. A text of fewer than n words has one n-gram,
+    all of it. A null text, or one without words, has no link, and its document is a class by itself. Repeated rows (same
+    doc_id and set) are one document. A doc_id with several different sets gets the least class and the sum of the links
+    of them. Null doc_ids have one row without class and without links, and nothing links to them. Other columns are
+    ignored. An empty table gives no rows. Exact up to collisions of the 48-bit tokens.
     """
-    buckets = P.partitions(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    tokens = texts.mapInArrow(X.lean(_tokens(buckets, n)), P.SCHEMA)
+    spark, buckets = docs.sparkSession, P.partitions(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = cut(texts.mapInArrow(X.lean(_named(n, min(4, HOT_LEAST))), "kind int, key long, set long, size int"), "named")
+    entries = cut(named.filter("kind = 0").select(F.col("key").alias("doc_id"), "set").distinct(), "entries")
+    least = max(HOT_LEAST, named.filter("kind = 0").count() * HOT_SHARE)
+    common = named.filter("kind = 1").groupBy("key").agg(F.sum("size").alias("texts")).filter(F.col("texts") >= least)
+    hot = np.sort(np.array([r["key"] for r in common.orderBy(F.desc("texts"), "key").limit(HOT_TOKENS).collect()], np.int64).view(np.uint64))
+    copies = cut(entries.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "copies")
+
+    own = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
+    tokens = own.mapInArrow(X.lean(_tokens(buckets, n, spark.sparkContext.broadcast(hot))), P.SCHEMA)
     shared = P.exchange(tokens, buckets, _frequencies(buckets))
     sets = cut(P.exchange(shared, buckets, _sets(threshold), _SETS), "sets")
-    few = max(1, buckets // 16)
-    prefixes = sets.filter(F.octet_length("tokens") > 0).select("set", "size", "family", "tokens", "df").mapInArrow(X.lean(_prefixes(few, threshold)), P.SCHEMA)
-    pairs = P.exchange(prefixes, few, _pairs(threshold), "block long, a long, b long")
-    candidates = _split(cut(pairs.distinct(), "candidates"))
-    who = cut(candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct(), "members")
+    units = P.exchange(sets.mapInArrow(X.lean(_prefixes(buckets, threshold)), P.SCHEMA), buckets, _units(buckets))
+    candidates = _split(cut(P.exchange(units, buckets, _pairs(threshold), "block long, a long, b long").distinct(), "candidates"))
+    who = candidates.select("block", F.explode(F.array("a", "b")).alias("set")).distinct().join(copies.select("set", "copies"), "set")
+    who = cut(who, "members")
     if who.count() <= BROADCAST_ROWS:
         who = F.broadcast(who)
     none = F.lit(None)
-    members = sets.join(who, "set").select("block", F.lit(0).alias("kind"), "set", none.cast("long").alias("other"), "size", "ids", "tokens", "df")
-    wanted = candidates.select("block", F.lit(1).alias("kind"), F.col("a").alias("set"), F.col("b").alias("other"), none.cast("int").alias("size"), none.cast("array<long>").alias("ids"), none.cast("binary").alias("tokens"), none.cast("binary").alias("df"))
-    near = members.unionByName(wanted).repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(X.lean(_verify(threshold)), _OUT)
-    copies = sets.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.col("size").alias("common"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(copies)
+    members = sets.join(who, "set").select("block", F.lit(0).alias("kind"), "set", none.cast("long").alias("other"), "size", "copies", "tokens", "df")
+    wanted = candidates.select("block", F.lit(1).alias("kind"), F.col("a").alias("set"), F.col("b").alias("other"), none.cast("int").alias("size"), none.cast("long").alias("copies"), none.cast("binary").alias("tokens"), none.cast("binary").alias("df"))
+    found = by_block(members.unionByName(wanted), buckets, _block(threshold))
+    return classes(entries, copies, found, "set", "doc_id")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
     """The rows of docs, all columns as they are, without all but one document of each group of near duplicates.
 
-    A group is a connected component of join's pairs; the document with the least doc_id (null first, of equal ids the
+    A group is a class of links; the document with the least doc_id (null first, of equal ids the
     one with the lower text hash) stays. Rows equal in doc_id and text are one document and stay or go together. A null
     doc_id is a value like others here. Null texts and texts without words stay.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pairs = cut(join(docs.select(key.alias("doc_id"), "text"), threshold, n), "pairs")
     rows = docs.select(F.struct("*").alias("__row"))
     own = F.xxhash64(F.col("__row.doc_id").cast("long"), F.col("__row.text").cast("string"))
-    linked = components(pairs.select(F.col("docs_a")[0].alias("u"), F.col("docs_b")[0].alias("v")))
-    sides = F.explode(F.array("docs_a", "docs_b")).alias("ids")
-    members = pairs.select(sides).distinct().select(F.col("ids")[0].alias("node"), F.explode("ids").alias("key")).join(linked, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
+    members = cut(links(docs.select(key.alias("doc_id"), "text"), threshold, n).filter("n_links > 0").select(F.col("doc_id").alias("key"), F.col("class_id").alias("group")), "groups")
     named = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).join(members, "key")
     best = named.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     removed = cut(members.join(best, "group").filter(F.col("key") != F.col("best.key")).select(F.col("key").alias("__key")).distinct(), "removed")

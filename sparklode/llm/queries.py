@@ -71,8 +71,9 @@ NEAR = 0.5
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose sets of word trigrams have a Jaccard similarity of at least NEAR."""
-    return jaccard.join(_read(spark, sf_dir, "documents"), NEAR).select("docs_a", "docs_b", "jaccard")
+    """Every document with its class of near duplicates and its number of links: documents whose sets of word trigrams have
+    a Jaccard similarity of at least NEAR with its own."""
+    return jaccard.links(_read(spark, sf_dir, "documents"), NEAR)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,28 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+_CLASSES = """
+reach AS (
+  SELECT {row}, {row} AS other FROM {table}
+  UNION
+  SELECT r.{row}, l.b FROM reach r JOIN linked l ON l.a = r.other),
+n AS (SELECT a, count(*) AS n_links FROM linked GROUP BY a)
+SELECT r.{row}, min(r.other) AS class_id, CAST(coalesce(any_value(n.n_links), 0) AS BIGINT) AS n_links FROM reach r LEFT JOIN n ON n.a = r.{row} GROUP BY r.{row}
+"""
+
+ORACLES["op3_jaccard"] = """
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\r\f]+') AS ws FROM documents),
+gram AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) ELSE [array_to_string(ws, ' ')] END) AS g
+  FROM listed WHERE len(ws) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+linked AS MATERIALIZED (
+  SELECT m.a, m.b FROM met m JOIN size s ON s.doc_id = m.a JOIN size t ON t.doc_id = m.b
+  WHERE CAST(m.common AS DOUBLE) / (s.n + t.n - m.common) >= 0.5 - 1e-12),
+""" + _CLASSES.format(row="doc_id", table="documents")
+
 ORACLES["op4_warc"] = """
 WITH page AS (SELECT '<urn:page:' || page_id || '>' AS record_id, url AS uri, hex(encode(html)) AS h FROM pages),
 piece AS (SELECT *, CAST(unnest(range(greatest(1, CAST(ceil(length(h) / 32768.0) AS BIGINT)))) AS INTEGER) AS chunk_no FROM page),

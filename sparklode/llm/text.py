@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows handled at once, so that a text's number within its slice has 16 bits.
+SLICE_ROWS = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -76,14 +78,14 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows again, in pieces of at most limit bytes of text or one row."""
+    """The rows again, in pieces of at most limit bytes of text or one row, and of at most SLICE_ROWS rows."""
     for b in batches:
         if not b.num_rows:
             continue
         _, off = buffers(b.column(column))
         lo = 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+            hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), lo + SLICE_ROWS)
             yield b.slice(lo, hi - lo)
             lo = hi
 

@@ -46,7 +46,22 @@ def jaccard_pairs(docs, t=0.7):
     return out
 
 
-def keep_one(docs, t=0.7):
+def classes(keys, pairs):
+    """{key: (least key of its class, number of links)}."""
+    root, n = {k: k for k in keys}, collections.Counter(x for p in pairs for x in p)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {k: (find(k), n[k]) for k in keys}
+
+
+def keep_one(docs, t=0.5):
     root = {k: k for k in docs}
 
     def find(x):

@@ -168,42 +168,72 @@ def test_mixture_edges(spark, hard):
 # 3
 
 
-def pairs_of(df):
-    out = {}
-    for r in df.collect():
-        for a, b in itertools.product(r.docs_a, r.docs_b):
-            if a != b:
-                out[(min(a, b), max(a, b))] = r.jaccard
-    return out
+def linked(df):
+    return {r[0]: (r.class_id, r.n_links) for r in df.collect()}
 
 
-def test_jaccard_equals_brute_force(spark, hard):
-    rng = random.Random(4)
-    texts = [t for _, t in hard[0]]
-    for _ in range(40):
-        base = sentence(rng, rng.randint(1, 60), 60).split()
+def near_texts(rng, n, words_, vocabulary):
+    texts = []
+    for _ in range(n):
+        base = sentence(rng, rng.randint(1, words_), vocabulary).split()
         for _ in range(rng.randint(1, 5)):
             w = [x if rng.random() > 0.04 else "z" for x in base]
             texts.append(" ".join(w[: rng.randint(len(w) - len(w) // 10, len(w))]))
-    texts = list(enumerate(texts))
-    got = pairs_of(jaccard.join(table(spark, texts), 0.7))
-    want = brute.jaccard_pairs(dict(texts), 0.7)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    kept = jaccard.keep_one(table(spark, texts), 0.7)
-    assert {r.doc_id for r in kept.collect()} == brute.keep_one(dict(texts), 0.7)
+    return texts
 
 
-def test_jaccard_edges(spark, hard, monkeypatch):
+@pytest.mark.parametrize("t", [0.5, 0.7])
+def test_jaccard_equals_brute_force(spark, hard, t):
+    texts = list(enumerate([x for _, x in hard[0]] + near_texts(random.Random(4), 40, 60, 60)))
+    want = brute.classes(dict(texts), brute.jaccard_pairs(dict(texts), t))
+    assert linked(jaccard.links(table(spark, texts), t)) == want
+    kept = jaccard.keep_one(table(spark, texts), t)
+    assert {r.doc_id for r in kept.collect()} == brute.keep_one(dict(texts), t)
+
+
+def test_jaccard_edges(spark, hard):
     _, df = hard
-    assert jaccard.join(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
-    t = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None), (7, ""), (8, "A b  c\nd")], "doc_id long, text string")
-    assert set(pairs_of(jaccard.join(t))) == {(5, 8)}
-    assert sorted((r.doc_id or 0) for r in jaccard.keep_one(t).collect()) == [0, 6, 7]
+    assert jaccard.links(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
+    t = spark.createDataFrame([(None, "a b c d"), (None, "x"), (5, "a b c d"), (5, "a b c d"), (6, None), (7, ""), (8, "A B  c\nd"), (9, "p q r"), (9, "a b c d"), (10, "p q r")], "doc_id long, text string")
+    assert linked(jaccard.links(t)) == {None: (None, 0), 5: (5, 2), 6: (6, 0), 7: (7, 0), 8: (5, 2), 9: (5, 3), 10: (9, 1)}
+    assert sorted((r.doc_id or 0) for r in jaccard.keep_one(t).collect()) == [0, 0, 6, 7, 9]
     assert jaccard.keep_one(df).columns == df.columns
-    before = pairs_of(jaccard.join(df))
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
-    assert pairs_of(jaccard.join(df)) == before
+
+
+def test_jaccard_ways_of_large_inputs(spark, hard, monkeypatch):
+    """Hot tokens, split tokens and blocks, and shuffled joins give the same rows."""
+    from sparklode.llm import blocks
+
+    texts = list(enumerate([x for _, x in hard[0]] + near_texts(random.Random(5), 30, 40, 30)))
+    df, want = table(spark, texts), brute.classes(dict(texts), brute.jaccard_pairs(dict(texts), 0.5))
+    for name, value in (("BROADCAST_ROWS", 0), ("BLOCK_SETS", 2), ("GROUP", 2), ("HOT_LEAST", 2), ("HOT_SHARE", 0.0)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
+    assert linked(jaccard.links(df)) == want
+    monkeypatch.setattr(jaccard, "HOT_TOKENS", 3)
+    assert linked(jaccard.links(df)) == want
+
+
+def test_many_short_texts_in_one_batch(spark):
+    texts = [(k, f"a{k} b{k} c{k}") for k in range(70_000)] + [(70_000, "a1 b1 c1"), (70_001, "a69999 b69999 c69999")]
+    df = spark.createDataFrame(pa.Table.from_pydict({"doc_id": [k for k, _ in texts], "text": [t for _, t in texts]})).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        got = linked(jaccard.links(df).filter("n_links > 0"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {1: (1, 1), 70_000: (1, 1), 69_999: (69_999, 1), 70_001: (69_999, 1)}
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(11)
+    long = sentence(rng, 400_000, 10**6)
+    assert len(long) > 1.5 * jaccard._SLICE
+    near = long.split()
+    near[7] = "changed"
+    df = table(spark, [(0, long), (1, " ".join(near)), (2, "short text here")], False)
+    assert linked(jaccard.links(df)) == {0: (0, 1), 1: (0, 1), 2: (2, 0)}
 
 
 def test_large_groups_of_copies_and_near_copies(spark):
@@ -214,8 +244,8 @@ def test_large_groups_of_copies_and_near_copies(spark):
         w = list(base)
         w[k % 40] = f"new{k % 75}"
         texts.append((k, " ".join(w)))
-    got = pairs_of(jaccard.join(table(spark, texts, False), 0.7))
-    assert got.keys() == brute.jaccard_pairs(dict(texts), 0.7).keys()
+    got = linked(jaccard.links(table(spark, texts, False), 0.7))
+    assert got == brute.classes(dict(texts), brute.jaccard_pairs(dict(texts), 0.7))
 
 
 def test_op3_finds_copies_with_a_tenth_of_the_words_changed(spark, tmp_path):
@@ -230,14 +260,19 @@ def test_op3_finds_copies_with_a_tenth_of_the_words_changed(spark, tmp_path):
         texts += [" ".join(base), " ".join(near)]
     texts = list(enumerate(texts))
     table(spark, texts, False).write.parquet(str(tmp_path / "documents.parquet"))
-    got = pairs_of(queries.op3_jaccard(spark, str(tmp_path)))
-    assert got.keys() == planted == brute.jaccard_pairs(dict(texts), 0.5).keys() and min(got.values()) < 0.6
+    assert planted == brute.jaccard_pairs(dict(texts), 0.5).keys()
+    assert linked(queries.op3_jaccard(spark, str(tmp_path))) == brute.classes(dict(texts), planted)
 
 
-def test_components(spark):
-    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+def test_components(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (200, 200)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(180)]
+    df = spark.createDataFrame(edges + [(None, 5), (6, None)], "u long, v long").repartition(4)
+    want = {k: r for k, (r, _) in brute.classes({x for e in edges for x in e}, edges).items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    assert components.components(df.limit(0)).count() == 0
 
 
 def test_six_byte_tokens():
