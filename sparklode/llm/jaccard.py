@@ -36,7 +36,7 @@ BROADCAST_ROWS = 1_000_000
 #: commonest first. What is not hot is shuffled by token.
 HOT_SHARE, HOT_LEAST, HOT_TOKENS = 1 / 200, 10_000, 2_000_000
 #: Sets of one prefix token that a task pairs at once.
-GROUP = 1024
+GROUP = 512
 _HOT = np.uint32(0xFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -248,8 +248,9 @@ def _prefixes(n: int, t: float):
 
 
 def _units(n: int):
-    """By prefix-token bucket -> what a task pairs at once: the tokens of up to GROUP sets together (kind 0), each pair of
-    parts of a token of more sets by itself, in a bucket of its own (kind 1: sets, sizes, families, size of the first part)."""
+    """By prefix-token bucket -> what a task pairs at once, in the bucket of the token's least set, so that the tokens which
+    the same sets share meet in one task and their pairs are found once there: the tokens of up to GROUP sets (kind 0), and
+    for tokens of more sets each pair of the sets' parts (kind 1: sets, sizes, families, size of the first part)."""
 
     def run(held):
         def rows():
@@ -261,26 +262,46 @@ def _units(n: int):
                 sizes.append(np.repeat(z, c))
                 fams.append(np.repeat(f, c))
             sets, toks, sizes, fams = (np.concatenate(a) for a in (sets, toks, sizes, fams))
-            order = np.argsort(toks, kind="stable")
+            order = np.lexsort((sets, toks))
             sets, toks, sizes, fams = sets[order], toks[order], sizes[order], fams[order]
             start, length = P.runs(toks)
-            few = np.repeat((length > 1) & (length <= GROUP), length)
-            if few.any():
-                yield int(toks[0] % np.uint64(n)), 0, P.pack(sets[few], P.six(toks[few]), sizes[few], fams[few])
-            half = GROUP // 2
-            for k in np.flatnonzero(length > GROUP):
-                parts = [slice(lo, min(lo + half, start[k] + length[k])) for lo in range(start[k], start[k] + length[k], half)]
-                for i, p in enumerate(parts):
-                    for j, q in enumerate(parts[i:], i):
-                        at = np.r_[p] if i == j else np.r_[p, q]
-                        to = int(X.mix(np.array([toks[start[k]] + np.uint64(i * len(parts) + j)]), 3)[0] % np.uint64(n))
-                        yield to, 1, P.pack(sets[at], sizes[at], fams[at], np.array([p.stop - p.start if i < j else 0], "<i8"))
+            some = np.repeat(length > 1, length)
+            sets, toks, sizes, fams = sets[some], toks[some], sizes[some], fams[some]
+            start, length = P.runs(toks)
+            if not len(start):
+                return
+            once = _distinct(sets, start, length)
+            least = np.minimum.reduceat(X.mix(sets, 13), start)
+            bucket = (X.mix(least, 3) % np.uint64(n)).astype(np.int64)
+            few = once & (length <= GROUP)
+            entry = np.flatnonzero(np.repeat(few, length))
+            for k, at in P.groups(np.repeat(bucket, length)[entry], n):
+                at = entry[at]
+                yield k, 0, P.pack(sets[at], P.six(toks[at]), sizes[at], fams[at])
+            for k in np.flatnonzero(once & (length > GROUP)):
+                own = np.arange(start[k], start[k] + length[k])
+                parts = 1 << int(np.ceil(np.log2(length[k] / (GROUP // 2))))
+                part = (X.mix(sets[own], 7) & np.uint64(parts - 1)).astype(np.int64)
+                for i in range(parts):
+                    for j in range(i, parts):
+                        mine, other = own[part == i], own[part == j] if j > i else own[:0]
+                        at = np.concatenate([mine, other])
+                        to = int(X.mix(np.array([least[k] + np.uint64(i * parts + j)]), 5)[0] % np.uint64(n))
+                        yield to, 1, P.pack(sets[at], sizes[at], fams[at], np.array([len(mine) if j > i else 0, j > i], "<i8"))
 
         yield from P.emit(rows())
 
     return run
 
 
+def _distinct(sets: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of groups of sets laid end to end, those that are the first with their sets."""
+    keep = np.zeros(len(start), bool)
+    if len(start):
+        keep[np.unique(X.mix(np.add.reduceat(X.mix(sets, 5), start) + length.astype(np.uint64)), return_index=True)[1]] = True
+    return keep
+
+
 def _pairs(t: float):
     """Units -> pairs of sets that share a token and whose sizes allow t, distinct within a task."""
 
@@ -293,18 +314,22 @@ def _pairs(t: float):
             yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(name[x].view(np.int64)), pa.array(name[y].view(np.int64))], ["block", "a", "b"])
 
     def run(held):
-        sets, toks, sizes, fams, split = [], [], [], [], []
+        sets, toks, sizes, fams, split, seen = [], [], [], [], [], set()
         for blob in held.get(0, []):
             s, x, z, f = P.unpack(blob, "<u8", None, "<u4", "<i8")
             for r, v in zip((sets, toks, sizes, fams), (s, P.unsix(x), z, f)):
                 r.append(v)
         for blob in held.get(1, []):
-            s, z, f, cut_at = P.unpack(blob, "<u8", "<u4", "<i8", "<i8")
-            split.append((len(s), int(cut_at[0])))
+            s, z, f, (first, cross) = P.unpack(blob, "<u8", "<u4", "<i8", "<i8")
+            what = s.tobytes()
+            if what in seen:
+                continue
+            seen.add(what)
+            split.append((len(s), int(first), bool(cross)))
             for r, v in zip((sets, toks, sizes, fams), (s, np.zeros(len(s), np.uint64), z, f)):
                 r.append(v)
         sets, toks, sizes, fams = (np.concatenate(a) for a in (sets, toks, sizes, fams))
-        n_few = len(sets) - sum(n for n, _ in split)
+        n_few = len(sets) - sum(n for n, _, _ in split)
         name, where, local = np.unique(sets, return_index=True, return_inverse=True)
         size, fam = sizes[where].astype(np.int64), fams[where]
         found, held_n = [], 0
@@ -319,18 +344,20 @@ def _pairs(t: float):
                 found = [np.unique(np.concatenate(found))]
                 held_n = len(found[0]) // 2
 
-        order = np.argsort(toks[:n_few], kind="stable")
+        order = np.lexsort((local[:n_few], toks[:n_few]))
         few = local[:n_few][order]
         start, length = P.runs(toks[:n_few][order])
+        once = _distinct(name[few], start, length)
+        start, length = start[once], length[once]
         for d in np.unique(length):
             at, (i, j), step = start[length == d], np.triu_indices(d, 1), max(1, 4_000_000 // int(d * d))
             for lo in range(0, len(at), step):
                 add(few[at[lo : lo + step, None] + i].ravel(), few[at[lo : lo + step, None] + j].ravel())
         at = n_few
-        for n, first in split:
+        for n, first, cross in split:
             own = local[at : at + n]
             at += n
-            i, j = np.triu_indices(n, 1) if not first else (np.repeat(np.arange(first), n - first), np.tile(np.arange(first, n), first))
+            i, j = (np.repeat(np.arange(first), n - first), np.tile(np.arange(first, n), first)) if cross else np.triu_indices(n, 1)
             add(own[i], own[j])
         if found:
             yield from out(name, fam, np.unique(np.concatenate(found)))
