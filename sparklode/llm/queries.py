@@ -87,8 +87,8 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest vectors of every embedding."""
-    return topk.nearest(_read(spark, sf_dir, "embeddings"))
+    """The 10 nearest of all embeddings for every embedding whose id is divisible by 20."""
+    return topk.nearest(_read(spark, sf_dir, "embeddings"), every=20)
 
 
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ SELECT doc_id, kind, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS B
 
 ORACLES["op6_topk"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank FROM d)
 SELECT vec_id, rank, neighbour, round(dist, 6) AS distance FROM r WHERE rank <= 10
 """

@@ -2,25 +2,27 @@
 
 A vector cut into segments has a mean and a deviation for each. For vectors x, y and segments of length l,
 sum of l * ((mean x - mean y)^2 + (dev x - dev y)^2) never exceeds their squared distance, and finer segments bound it more
-closely. The search goes coarse to fine: blocks of vectors whose statistics' ranges are too far apart never meet; inside a
-pair of blocks each level drops what cannot be among the k nearest; exact distances are computed for the survivors.
+closely. The search goes coarse to fine: blocks of vectors whose statistics lie too far from every query of a block are not
+sent to it; inside a pair of blocks each level drops pairs of a query and a vector that can't be among the k nearest, the
+bounds of the finest level choose the k vectors that are compared first, and the survivors get exact distances.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import packed as P
 from . import text as X
 from .vectors import matrix, usable
 
 _SLACK = 1e-6
-_FAR = np.finfo(np.float64).max
-#: Share of pairs that a level lets through from which finer levels are left out: the exact distances cost less.
-_DENSE = 0.9
+#: Share of the pairs of a query tile and a block from which exact distances are one matrix product, masked by the survivors.
+_PRODUCT = 0.02
 
 
 def levels(d: int) -> list[int]:
@@ -56,37 +58,51 @@ class _Best:
         self.dist = np.full((len(ids), k), np.inf)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.stats = [statistics(x, s) for s in levels(x.shape[1])]
+        self.compared = 0
 
-    def meet(self, ids: np.ndarray, y: np.ndarray, step: int = 1024) -> None:
+    def bound(self, q: np.ndarray) -> np.ndarray:
+        return self.dist[q, -1] ** 2 * (1 + _SLACK) + _SLACK
+
+    def meet(self, ids: np.ndarray, y: np.ndarray, step: int = 512) -> None:
         stats = [statistics(y, s) for s in levels(y.shape[1])]
         for lo in range(0, len(self.ids), step):
             q = np.arange(lo, min(lo + step, len(self.ids)))
-            c = np.arange(len(ids))
-            bound = self.dist[q, -1] ** 2 * (1 + _SLACK) + _SLACK
+            ok = self.ids[q][:, None] != ids[None, :]
             for mine, theirs in zip(self.stats, stats):
-                ok = _sq(mine[q], theirs[c]) <= bound[:, None]
-                keep, c = ok.any(1), c[ok.any(0)]
-                q, bound = q[keep], bound[keep]
-                if ok.mean() > _DENSE:
+                gap = _sq(mine[q], theirs)
+                ok &= gap <= self.bound(q)[:, None]
+                if not ok.any():
                     break
-            if not len(q) or not len(c):
+            if not ok.any():
                 continue
-            rough = _sq(self.x[q], y[c])
-            rough[self.ids[q][:, None] == ids[c][None, :]] = np.inf
-            ok = rough <= np.minimum(bound, _FAR)[:, None]
-            if ok.sum() > 16 * self.k * len(q):
-                near = min(self.k, len(c))
-                limit = np.minimum(bound, np.partition(rough, near - 1, axis=1)[:, near - 1] * (1 + _SLACK) + _SLACK)
-                ok &= rough <= limit[:, None]
-            r, col = np.nonzero(ok)
-            exact = np.sqrt(((self.x[q[r]] - y[c[col]]) ** 2).sum(1))
-            row = np.concatenate([np.repeat(np.arange(len(q)), self.k), r])
-            dist = np.concatenate([self.dist[q].ravel(), exact])
-            who = np.concatenate([self.who[q].ravel(), ids[c[col]]])
-            order = np.lexsort((who, dist, row))
-            row, dist, who = row[order], dist[order], who[order]
-            at = np.searchsorted(row, np.arange(len(q)))[:, None] + np.arange(self.k)
-            self.dist[q], self.who[q] = dist[at], who[at]
+            first = np.zeros_like(ok)
+            if len(ids) > 4 * self.k:  # the nearest by bound come first and tighten the bound for the others
+                near = np.argpartition(np.where(ok, gap, np.inf), self.k - 1, axis=1)[:, : self.k]
+                np.put_along_axis(first, near, True, 1)
+                first &= ok
+                self._compare(q, ids, y, first)
+                ok &= ~first & (gap <= self.bound(q)[:, None])
+            self._compare(q, ids, y, ok)
+
+    def _compare(self, q: np.ndarray, ids: np.ndarray, y: np.ndarray, ok: np.ndarray) -> None:
+        """Takes the exact distances of the pairs in ok, and keeps the k nearest."""
+        if ok.mean() > _PRODUCT:
+            rough = np.where(ok, _sq(self.x[q], y), np.inf)
+            limit = self.bound(q)
+            if len(ids) > self.k:
+                limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] * (1 + _SLACK) + _SLACK)
+            ok = ok & (rough <= limit[:, None])
+        r, col = np.nonzero(ok)
+        if not len(r):
+            return
+        self.compared += len(r)
+        exact = np.sqrt(((self.x[q[r]] - y[col]) ** 2).sum(1))
+        row = np.concatenate([np.repeat(np.arange(len(q)), self.k), r])
+        dist, who = np.concatenate([self.dist[q].ravel(), exact]), np.concatenate([self.who[q].ravel(), ids[col]])
+        order = np.lexsort((who, dist, row))
+        row, dist, who = row[order], dist[order], who[order]
+        at = np.searchsorted(row, np.arange(len(q)))[:, None] + np.arange(self.k)
+        self.dist[q], self.who[q] = dist[at], who[at]
 
     def rows(self) -> pa.RecordBatch:
         r, c = np.nonzero(self.dist < np.inf)
@@ -102,24 +118,11 @@ def _unpack(blob: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<f4", n * d, 8 * n).reshape(n, d).astype(np.float64)
 
 
-def nearest(table: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
-    """(vec_id, rank, neighbour, distance): the k nearest vectors of every vector, by Euclidean distance (to six digits) and
-    then by id; a row's own id is no neighbour of it.
-
-    Rows that usable leaves out (null ids, null, empty or odd vectors) neither search nor are found. A row that occurs
-    twice searches twice and is found twice. Fewer than k other rows give fewer neighbours. Other columns are ignored.
-    The vectors are range-sorted by their coarse statistics into blocks of about block_rows. A block's searches start in
-    the block itself, which bounds how far its other neighbours can be; only blocks within that bound are sent to it, and
-    a task holds one block of them at a time.
-    """
-    rows, d = usable(table)
-    spark = table.sparkSession
-    if not d:
-        return spark.createDataFrame([], "vec_id long, rank int, neighbour long, distance double")
-    lengths = [d // 2, d - d // 2]
-    halves = [F.slice("v", 1, max(1, lengths[0])), F.slice("v", lengths[0] + 1, lengths[1])]
-    key = [F.round(F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / max(1, n), 2) for h, n in zip(halves, lengths)]
-    n_blocks = max(1, -(-rows.count() // block_rows))
+def _blocks(rows: DataFrame, d: int, size: int, solve, schema: str, name: str) -> DataFrame:
+    """rows (vec_id, v) range-sorted by their coarse statistics into blocks of about size, written; each block is numbered by
+    its partition and place there, and solve(ids, vectors) gives its other columns."""
+    half = max(1, d // 2)
+    mean = [F.round(F.aggregate(F.slice("v", lo, n), F.lit(0.0), lambda a, x: a + x) / n, 2) for lo, n in ((1, half), (half + 1, d - half)) if n]
 
     def pack(batches):
         ids, xs = [], []
@@ -129,42 +132,109 @@ def nearest(table: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
                 xs.append(matrix(b.column(1), d))
         if not ids:
             return
-        ids, x = np.concatenate(ids), np.concatenate(xs)
-        for lo in range(0, len(ids), block_rows):
-            i, y = ids[lo : lo + block_rows], x[lo : lo + block_rows].astype(np.float64)
-            own = _Best(i, y, k)
-            own.meet(i, y)
-            s = [statistics(y, n) for n in levels(d)]
-            yield pa.RecordBatch.from_pydict({
-                "block": [f"{i.min()}-{i.max()}-{len(i)}-{y[0, 0]!r}-{y.sum()!r}"], "blob": pa.array([_pack(i, y)], pa.binary()), "reach": [float(own.dist[:, -1].max())],
-                "low": [np.concatenate([z.min(0) for z in s]).tolist()], "high": [np.concatenate([z.max(0) for z in s]).tolist()],
-            })
-
-    sized = rows.repartitionByRange(n_blocks, *key, "vec_id")
-    blocks = cut(sized.mapInArrow(X.lean(pack), "block string, blob binary, reach double, low array<double>, high array<double>"), "blocks")
-    frame = blocks.select("block", "reach", "low", "high")
-    other = frame.select(F.col("block").alias("there"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    widths = [2 * len({int(e) for e in np.linspace(0, d, n + 1)[1:]}) for n in levels(d)]
-    bounds, lo = [], 0
-    for w in widths:
-        part = F.transform(F.sequence(F.lit(lo + 1), F.lit(lo + w)), lambda i: F.greatest(F.lit(0.0), F.element_at("low2", i) - F.element_at("high", i), F.element_at("low", i) - F.element_at("high2", i)))
-        bounds.append(F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x))
-        lo += w
-    gap = F.greatest(*bounds) if len(bounds) > 1 else bounds[0]
-    meets = frame.crossJoin(other).withColumn("gap", gap).filter(F.col("gap") <= F.col("reach") * F.col("reach") * (1 + _SLACK) + _SLACK).select("block", "there", "gap")
-    sent = meets.join(blocks.select(F.col("block").alias("there"), "blob"), "there").select("block", F.when(F.col("there") == F.col("block"), F.lit(-1.0)).otherwise(F.col("gap")).alias("gap"), "there", "blob")
+        ids, x, part = np.concatenate(ids), np.concatenate(xs), TaskContext.get().partitionId()
+        for n, lo in enumerate(range(0, len(ids), size)):
+            i, y = ids[lo : lo + size], x[lo : lo + size].astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + n], pa.int64()), "blob": pa.array([_pack(i, y)], pa.binary()), **solve(i, y)})
+
+    ranged = rows.repartitionByRange(max(1, -(-rows.count() // size)), *mean, "vec_id")
+    return cut(ranged.mapInArrow(X.lean(pack), f"block long, blob binary, {schema}"), name)
+
+
+#: Blocks whose ranges of statistics are one row of the plan.
+_GROUP = 256
+
+
+def nearest(table: DataFrame, k: int = 10, every: int = 1, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+    """(vec_id, rank, neighbour, distance): the k nearest vectors of every vector whose id is divisible by every, among all
+    vectors, by Euclidean distance (to six digits) and then by id; a row's own id is no neighbour of it.
+
+    Rows that usable leaves out (null ids, null, empty or odd vectors) neither search nor are found. A row that occurs
+    twice searches twice and is found twice. Fewer than k other rows give fewer neighbours. Other columns are ignored.
+    Vectors and queries are each range-sorted by their coarse statistics into blocks. A query's search starts among the
+    queries of its block, which bounds how far its neighbours can be; only the blocks of vectors within some query's bound
+    are sent to a block of queries, nearest first, and a task holds one block of either at a time.
+    """
+    rows, d = usable(table)
+    if not d:
+        return table.sparkSession.createDataFrame([], "vec_id long, rank int, neighbour long, distance double")
+    sizes = levels(d)
+
+    def ranges(ids, y):
+        s = np.concatenate([statistics(y, n) for n in sizes], axis=1)
+        return {"low": pa.array([s.min(0).tobytes()], pa.binary()), "high": pa.array([s.max(0).tobytes()], pa.binary())}
+
+    def reach(ids, y):
+        own = _Best(ids, y, k)
+        own.meet(ids, y)
+        return {"reach": pa.array([own.dist[:, -1].tobytes()], pa.binary())}
+
+    vectors = _blocks(rows, d, block_rows, ranges, "low binary, high binary", "vector-blocks")
+    asked = _blocks(rows.filter(F.col("vec_id") % every == 0), d, query_rows, reach, "reach binary", "query-blocks")
+
+    def group(batches):
+        held: list[tuple] = []
+        for b in batches:
+            held += zip(*(b.column(i).to_pylist() for i in range(3)))
+            while len(held) >= _GROUP:
+                yield _joined(held[:_GROUP])
+                held = held[_GROUP:]
+        if held:
+            yield _joined(held)
+
+    def _joined(rows):
+        name, low, high = zip(*rows)
+        return pa.RecordBatch.from_pydict({"blob": pa.array([P.pack(np.array(name, "<i8"), b"".join(low), b"".join(high))], pa.binary())})
+
+    n_groups = max(1, -(-vectors.count() // _GROUP))
+    groups = vectors.select("block", "low", "high").repartition(n_groups).mapInArrow(group, "blob binary")
+    groups = cut(groups.select(F.monotonically_increasing_id().alias("g"), "blob"), "vector-groups")
+    names = [r["g"] for r in groups.select("g").collect()]  # one number for each _GROUP * block_rows vectors
+
+    def plan(batches):
+        """Query blocks with groups -> the vector blocks that some query of the block may need, with the least gap."""
+        for b in batches:
+            for query, blob, far, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+                ids, x = _unpack(blob.as_buffer(), d)
+                bound = np.frombuffer(far.as_buffer(), "<f8") ** 2 * (1 + _SLACK) + _SLACK
+                stats = [statistics(x, n) for n in sizes]
+                name, low, high = P.unpack(ranges.as_buffer(), "<i8", "<f8", "<f8")
+                low, high = low.reshape(len(name), -1), high.reshape(len(name), -1)
+                out = []
+                for v in range(len(name)):
+                    left, lo, gap = np.arange(len(ids)), 0, np.zeros(len(ids))
+                    for s in stats:
+                        span = slice(lo, lo + s.shape[1])
+                        lo += s.shape[1]
+                        off = np.maximum(0, np.maximum(low[v, span] - s[left], s[left] - high[v, span]))
+                        gap = (off * off).sum(1)
+                        near = gap <= bound[left]
+                        left, gap = left[near], gap[near]
+                        if not len(left):
+                            break
+                    if len(left):
+                        out.append((query, int(name[v]), float(gap.min())))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query", "block", "gap"])
+
+    spread = asked.select(F.col("block").alias("query"), F.col("blob").alias("asked"), "reach", F.explode(F.array(*[F.lit(g) for g in names]) if names else F.array().cast("array<long>")).alias("g"))
+    meets = spread.join(groups, "g").select("query", "asked", "reach", "blob").mapInArrow(X.lean(plan), "query long, block long, gap double")
+    own = asked.select(F.col("block").alias("query"), F.lit(-1.0).alias("gap"), F.lit(-1).cast("long").alias("block"), "blob")
+    sent = meets.join(vectors.select("block", "blob"), "block").select("query", "gap", "block", "blob").unionByName(own)
 
     def search(batches):
-        block, best = None, None
+        query, best = None, None
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(3)):
+            for name, block, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 ids, x = _unpack(blob.as_buffer(), d)
-                if name != block:
+                if name != query:
                     if best is not None:
                         yield best.rows()
-                    block, best = name, _Best(ids, x, k)
-                best.meet(ids, x)
+                    query, best = name, _Best(ids, x, k)
+                else:
+                    best.meet(ids, x)
         if best is not None:
             yield best.rows()
 
-    return sent.repartition(n_blocks, "block").sortWithinPartitions("block", "gap", "there").mapInArrow(X.lean(search), "vec_id long, rank int, neighbour long, distance double")
+    n_queries = max(1, asked.count())
+    return sent.repartition(min(n_queries, 100_000), "query").sortWithinPartitions("query", "gap", "block").mapInArrow(X.lean(search), "vec_id long, rank int, neighbour long, distance double")

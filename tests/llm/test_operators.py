@@ -354,27 +354,52 @@ def test_repeats_edges(spark):
 # 6
 
 
-def brute_topk(rows, k):
+def brute_topk(rows, k, every=1):
+    """{query: a sorted list of (neighbour, distance) lists, one for each time that it occurs}."""
     out = {}
     for i, x in rows:
-        d = sorted((round(math.dist(x, y), 12), j) for j, y in rows if j != i)
-        out[i] = [(j, round(v, 6)) for v, j in d[:k]]
+        if i % every == 0:
+            d = sorted((math.dist(x, y), j) for j, y in rows if j != i)
+            out.setdefault(i, []).append([(j, v) for v, j in d[:k]])
     return out
 
 
-@pytest.mark.parametrize("d,block", [(16, 32), (7, 50), (1, 20)])
-def test_topk_equals_brute_force(spark, d, block):
+def found_topk(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.vec_id, {}).setdefault(r["rank"], []).append((r.neighbour, r.distance))
+    return {i: [[v[n][c] for n in sorted(v)] for c in range(len(v[1]))] for i, v in out.items()}
+
+
+def same_topk(got, want):
+    names = lambda t: {i: [[j for j, _ in c] for c in v] for i, v in t.items()}
+    return names(got) == names(want) and all(abs(g[1] - w[1]) < 2e-6 for i in want for a, b in zip(got[i], want[i]) for g, w in zip(a, b))
+
+
+@pytest.mark.parametrize("d,block,every", [(16, 32, 1), (7, 50, 3), (1, 20, 1), (64, 16, 20)])
+def test_topk_equals_brute_force(spark, d, block, every):
     rng = np.random.default_rng(d)
     centres = rng.normal(size=(6, d)) * 5
     x = (centres[rng.integers(0, 6, 150)] + rng.normal(size=(150, d)) * 0.1).astype(np.float32)
     x[10] = x[11] = x[12]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    got: dict = {}
-    for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, block).orderBy("vec_id", "rank").collect():
-        got.setdefault(r.vec_id, []).append((r.neighbour, r.distance))
-    want = brute_topk(rows, 5)
-    assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
-    assert all(abs(a[1] - b[1]) < 2e-6 for i in want for a, b in zip(got[i], want[i]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert same_topk(found_topk(topk.nearest(df, 5, every, block, block // 2)), brute_topk(rows, 5, every))
+
+
+def test_topk_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "_GROUP", 3)
+    rows = [(1, [1.0, 2.0])] * 8 + [(2, [1.0, 2.5])] + [(3, [9.0, 9.0])] * 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert same_topk(found_topk(topk.nearest(df, 20, 1, 2, 2)), brute_topk(rows, 20))
+
+
+def test_topk_compares_survivors_only():
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.linspace(0, 100, 50), 40)[:, None] + rng.normal(size=(2000, 32)) * 0.01
+    best = topk._Best(np.arange(2000), x, 5)
+    best.meet(np.arange(2000), x)
+    assert best.compared < 2000 * 60
 
 
 def test_segment_statistics_bound_distances():
@@ -399,7 +424,7 @@ def test_vectors_that_take_no_part(spark):
     assert [(r.vec_a, r.vec_b) for r in neardup_vectors.near_duplicates(t).collect()] == [(1, 2)]
     assert topk.nearest(t.limit(0)).count() == 0 and neardup_vectors.near_duplicates(t.limit(0)).count() == 0
     one = t.filter("vec_id = 1")
-    assert topk.nearest(one).count() == 0 and topk.nearest(one.unionByName(one)).count() == 0 and neardup_vectors.near_duplicates(one.unionByName(one)).count() == 0
+    assert topk.nearest(one).count() == 0 and topk.nearest(one.unionByName(one), every=2).count() == 0 and topk.nearest(one.unionByName(one)).count() == 0 and neardup_vectors.near_duplicates(one.unionByName(one)).count() == 0
 
 
 # 7
