@@ -92,8 +92,9 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of embeddings with a cosine of at least 0.95."""
-    return neardup_vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    """Every embedding with its class of near duplicates and its number of links: embeddings with a cosine of at least 0.95
+    with it."""
+    return neardup_vectors.links(_read(spark, sf_dir, "embeddings"))
 
 
 _CLASSES = """
@@ -118,6 +119,11 @@ linked AS MATERIALIZED (
   WHERE CAST(m.common AS DOUBLE) / (s.n + t.n - m.common) >= 0.5 - 1e-12),
 """ + _CLASSES.format(row="doc_id", table="documents")
 
+ORACLES["op10_lattice"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+linked AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+""" + _CLASSES.format(row="vec_id", table="embeddings")
+
 ORACLES["op4_warc"] = """
 WITH page AS (SELECT '<urn:page:' || page_id || '>' AS record_id, url AS uri, hex(encode(html)) AS h FROM pages),
 piece AS (SELECT *, CAST(unnest(range(greatest(1, CAST(ceil(length(h) / 32768.0) AS BIGINT)))) AS INTEGER) AS chunk_no FROM page),

@@ -421,10 +421,10 @@ def test_vectors_that_take_no_part(spark):
     rows, d = vectors.usable(t)
     assert d == 2 and {r.vec_id for r in rows.collect()} == {1, 2, 8}
     assert [(r.vec_id, r.neighbour) for r in topk.nearest(t, 1).orderBy("vec_id").collect()] == [(1, 2), (2, 1), (8, 1)]
-    assert [(r.vec_a, r.vec_b) for r in neardup_vectors.near_duplicates(t).collect()] == [(1, 2)]
-    assert topk.nearest(t.limit(0)).count() == 0 and neardup_vectors.near_duplicates(t.limit(0)).count() == 0
+    assert linked(neardup_vectors.links(t)) == {None: (None, 0), 1: (1, 1), 2: (1, 1), **{k: (k, 0) for k in range(3, 10)}}
+    assert topk.nearest(t.limit(0)).count() == 0 and neardup_vectors.links(t.limit(0)).count() == 0
     one = t.filter("vec_id = 1")
-    assert topk.nearest(one).count() == 0 and topk.nearest(one.unionByName(one), every=2).count() == 0 and topk.nearest(one.unionByName(one)).count() == 0 and neardup_vectors.near_duplicates(one.unionByName(one)).count() == 0
+    assert topk.nearest(one).count() == 0 and topk.nearest(one.unionByName(one), every=2).count() == 0 and topk.nearest(one.unionByName(one)).count() == 0 and linked(neardup_vectors.links(one.unionByName(one))) == {1: (1, 0)}
 
 
 # 7
@@ -584,30 +584,43 @@ def test_nearest_lattice_point():
     assert len(neardup_vectors.SHORTEST) == 240 and np.allclose((neardup_vectors.SHORTEST**2).sum(1), 2)
 
 
-def test_lattice_recall(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    r = rng.normal(size=x.shape)
-    r -= (r * x).sum(1, keepdims=True) * x
-    r /= np.linalg.norm(r, axis=1, keepdims=True)
-    y = 0.955 * x + math.sqrt(1 - 0.955**2) * r
-    both = np.concatenate([x, y, x[:3]]).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(both)], "vec_id long, embedding array<float>")
-    got = {(q.vec_a, q.vec_b): q.cosine for q in neardup_vectors.near_duplicates(df).collect()}
-    u = both.astype(float) / np.linalg.norm(both.astype(float), axis=1, keepdims=True)
-    s = u @ u.T
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.95, 1)))}
-    assert set(got) <= want and len(got) >= 0.95 * len(want) and all(abs(got[k] - s[k]) < 1e-9 for k in got)
-
-
-@pytest.mark.parametrize("d", [8, 16])
-def test_lattice_recall_at_other_dimensions(spark, d):
-    rng = np.random.default_rng(d)
-    x, r = rng.normal(size=(2, 300, d))
+def cosine_classes(x, t):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= t, 1)))}
+    return pairs, brute.classes(range(len(x)), pairs)
+
+
+def rotated(rng, n, d, cosine):
+    x, r = rng.normal(size=(2, n, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     r -= (r * x).sum(1, keepdims=True) * x
-    y = 0.955 * x + math.sqrt(1 - 0.955**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<float>")
-    got = {(q.vec_a, q.vec_b) for q in neardup_vectors.near_duplicates(df).collect()}
-    assert sum((i, i + 300) in got for i in range(300)) >= 0.95 * 300
+    return x, cosine * x + math.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("d", [8, 16, 64])
+def test_lattice_recall(spark, d):
+    x, y = rotated(np.random.default_rng(d), 300, d, 0.955)
+    both = np.concatenate([x, y, x[:40], x[:3]]).astype(np.float32)
+    pairs, want = cosine_classes(both, 0.95)
+    got = linked(neardup_vectors.links(vector_table(spark, both)))
+    assert len(got) == len(want) and len(pairs) > 300 and all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.95 * 2 * len(pairs)
+    assert sum(got[i][0] == want[i][0] for i in want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("part", [1024, 8])
+def test_clusters_of_copies_and_near_copies(spark, monkeypatch, part):
+    """Hot cells: hundreds of close vectors and of equal ones; all links are found, whole cells or split."""
+    from sparklode.llm import blocks
+
+    monkeypatch.setattr(neardup_vectors, "PART", part)
+    if part == 8:
+        monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(3, 64))
+    x = np.concatenate([np.repeat(centre[:1], 60, 0) + rng.normal(size=(60, 64)) * 0.02, np.repeat(centre[1:2], 50, 0), centre[2:] + rng.normal(size=(40, 64)) * 0.01, rng.normal(size=(30, 64))]).astype(np.float32)
+    assert linked(neardup_vectors.links(vector_table(spark, x))) == cosine_classes(x, 0.95)[1]
