@@ -4,7 +4,8 @@ A text becomes the marker, then itself with every space replaced by the marker (
 Where no piece holds a marker behind another character, no piece crosses the start of a marker run, so the best path of
 a text is the best paths of its chunks (marker run plus what follows) one after another. Chunks repeat, so each distinct
 chunk of a slice is solved once, all of them in step, as numpy arrays. Characters that no piece starts are spelled in
-byte pieces with a score below that of any piece.
+byte pieces with a score below that of any piece. So is a marker that the text itself holds, which keeps it apart from a
+space: decoding gives every text back.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from . import text as X
 
 MARK = "▁".encode()
+#: First byte under which a text's own markers pass the lattice: no UTF-8 text holds it, and no piece starts with it.
+_OWN = 0xFE
 _UNK_PENALTY = 10.0
 _LATTICE_BYTES = 1 << 18
 
@@ -243,6 +246,10 @@ def _solve(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
 def encode(v: Vocabulary, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts laid end to end, and their offsets. A null or empty text has none."""
     raw, off = X.buffers(arr)
+    own = np.flatnonzero((raw[:-2] == MARK[0]) & (raw[1:-1] == MARK[1]) & (raw[2:] == MARK[2]))
+    if len(own):
+        raw = raw.copy()
+        raw[own] = _OWN
     # Marked text: a marker before each text, and in place of each space.
     n_docs = len(off) - 1
     filled = np.diff(off) > 0
@@ -288,6 +295,8 @@ def encode(v: Vocabulary, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids.append(got)
         done += len(got)
     ids, first, reps = np.concatenate(ids), first[where], reps[where]
+    if len(own) and v.byte_ids[_OWN] >= 0:
+        ids[ids == v.byte_ids[_OWN]] = v.byte_ids[MARK[0]]
     out_base = np.cumsum(reps) - reps
     out = ids[np.repeat(first - out_base, reps) + np.arange(reps.sum())]
     at = np.searchsorted(cut, total)
