@@ -65,46 +65,60 @@ class _Members(io.RawIOBase):
                 return len(out)
 
 
-def _head(f: BinaryIO) -> tuple[str, dict[str, str], int]:
-    """First line, fields (names in lower case) and size of a header block."""
-    first = f.readline()
-    size, fields = len(first), {}
-    while True:
-        line = f.readline()
-        size += len(line)
-        if line in (b"\r\n", b"\n", b""):
-            return first.decode("utf-8", "replace").strip(), fields, size
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        fields[name.strip().lower()] = value.strip()
+#: Bytes that a header may have. A longer WARC header is an error, a longer HTTP header is payload.
+_HEAD = 1 << 20
+
+
+def _head(f: BinaryIO, limit: int) -> tuple[str, dict[str, str], bytes, bool]:
+    """First line, fields (names in lower case) and bytes of a header block of at most limit bytes, and whether its closing
+    blank line is among them."""
+    lines, left, closed = [], limit, False
+    while left > 0 and not closed:
+        line = f.readline(left)
+        lines.append(line)
+        left -= len(line)
+        if not line.endswith(b"\n"):
+            break
+        closed = line in (b"\r\n", b"\n")
+    text = [x.decode("utf-8", "replace") for x in lines]
+    fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in text[1:]) if name.strip()}
+    return text[0].strip() if text else "", fields, b"".join(lines), closed
 
 
 def records(raw: BinaryIO, chunk_bytes: int) -> Iterator[tuple]:
     """(record_id, type, uri, http_status, chunk_no, offset, payload, sha1, last) of every chunk of every record.
 
     sha1 is of the payload up to and with this chunk. A record without payload is one empty chunk. For HTTP messages the
-    payload is the body. A file that ends inside a record, or starts one with anything else, raises ValueError.
+    payload is the body, and empty for an empty block; a block without a whole HTTP header of at most 1 MiB is all payload,
+    without a status. A file that ends inside a record, or starts one with anything else, a header of more than 1 MiB, or a
+    length that is missing or no number, raises ValueError.
     """
     f = io.BufferedReader(_Members(raw), _READ)
     while True:
         while (lead := f.peek(1)[:1]) in (b"\r", b"\n"):
-            f.readline()
+            f.read(1)
         if not lead:
             return
-        version, head, _ = _head(f)
+        version, head, _, closed = _head(f, _HEAD)
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record where one should start: {version[:40]!r}")
-        left, status = int(head.get("content-length", 0)), None
-        if head.get("content-type", "").startswith("application/http"):
-            line, _, size = _head(f)
-            left -= size
-            parts = line.split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
+        if not closed or not head.get("content-length", "").isdigit():
+            raise ValueError("a WARC header that does not end, or without a length")
+        left, status, ahead = int(head["content-length"]), None, b""
+        if left and head.get("content-type", "").startswith("application/http"):
+            line, _, ahead, whole = _head(f, min(left, _HEAD))
+            if whole:
+                left, ahead = left - len(ahead), b""
+                parts = line.split()
+                status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
         digest, number, offset = hashlib.sha1(), 0, 0
         while True:
-            piece = f.read(min(chunk_bytes, left)) if left else b""
-            left -= len(piece)
-            if left and len(piece) < chunk_bytes:
+            size = min(chunk_bytes, left)
+            piece, ahead = ahead[:size], ahead[size:]
+            piece += f.read(size - len(piece)) if len(piece) < size else b""
+            if len(piece) < size:
                 raise ValueError("the file ends inside a record")
+            left -= size
             digest.update(piece)
             yield head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), status, number, offset, piece, digest.hexdigest(), left == 0
             number, offset = number + 1, offset + len(piece)
@@ -185,7 +199,11 @@ def read(paths: DataFrame, chunk_bytes: int = 1 << 14) -> DataFrame:
 
 def roundtrip(pages: DataFrame, chunk_bytes: int = 1 << 14) -> DataFrame:
     """pages as WARC files in the shared folder, read again as chunks: (record_id, uri, chunk_no, offset, n_bytes, payload,
-    sha1, last). payload is base64; sha1 covers the record's payload up to and with the chunk."""
+    sha1, last). payload is base64; sha1 covers the record's payload up to and with the chunk.
+
+    A null or empty html gives one empty chunk, a null page_id the id <urn:page:>, a null url an empty uri; repeated rows
+    are repeated records; other columns are ignored; an empty table gives no rows.
+    """
     folder = scratch(pages.sparkSession, "warc")
     chunks = read(write(pages, folder), chunk_bytes)
     return chunks.select("record_id", "uri", "chunk_no", "offset", F.octet_length("payload").alias("n_bytes"), F.translate(F.base64("payload"), "\r\n", "").alias("payload"), "sha1", "last")
