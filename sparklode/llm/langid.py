@@ -97,10 +97,11 @@ def _grams(word_cps: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray
     return X.span_hash(_hash(word_cps), at, at + n), owner[at]
 
 
-def fit(docs: DataFrame, max_docs_per_lang: int = 1000, max_words_per_lang: int = 20_000, n_max: int = 5, seed: int = 11) -> Model:
-    """Train on a bounded sample of labelled rows: about max_docs_per_lang documents of each language, the words of
-    each cut to the max_words_per_lang most frequent, which bounds what comes to the driver. Rows with a null text or
-    language are not used. No usable row gives a model without languages, under which every document is undecided.
+def fit(docs: DataFrame, max_docs_per_lang: int = 1000, min_count: int = 2, n_max: int = 5, seed: int = 11) -> Model:
+    """Train on a bounded sample of labelled rows: about max_docs_per_lang documents of each language, whose words come to
+    the driver with their counts. A word or n-gram that occurs fewer than min_count times in the sample is not learned: one
+    occurrence can't tell a language from a slip. Rows with a null text or language are not used. No usable row gives a
+    model without languages, under which every document is undecided.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     share = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,30 +112,27 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 1000, max_words_per_lang: int
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = usable.filter(unit < pick[F.col("lang")]).select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
+    rows = counts.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    return _model(langs, rows.column("lang").to_pylist(), rows.column("word").to_pylist(), np.array(rows.column("n").to_pylist(), float), n_max, min_count)
 
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words_per_lang)
-    rows = top.select("lang", "word", "n").toArrow()
-    return _model(langs, rows.column("lang").to_pylist(), rows.column("word").to_pylist(), np.array(rows.column("n").to_pylist(), float), n_max)
 
-
-def _model(langs: list[str], lang: list[str], word: list[str], n: np.ndarray, n_max: int) -> Model:
+def _model(langs: list[str], lang: list[str], word: list[str], n: np.ndarray, n_max: int, min_count: int = 2) -> Model:
     code = {x: k for k, x in enumerate(langs)}
     who = np.array([code[x] for x in lang], np.int64)
     data = "".join(word).encode("utf-32-le")
     cps, length = np.frombuffer(data, np.uint32), np.array([len(x) for x in word], np.int64)
     end = np.cumsum(length)
 
-    def table(h: np.ndarray, owner: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def table(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(h, return_inverse=True)
         c = np.zeros((len(keys), len(langs)))
         np.add.at(c, (at, who[owner]), n[owner])
-        used = c.sum(1) >= least
+        used = c.sum(1) >= min_count
         keys, c = keys[used], c[used]
         return keys, np.log((c + 0.1) / (c.sum(0) + 0.1 * max(1, len(keys))))
 
-    words = table(X.span_hash(_hash(cps), end - length, end), np.arange(len(word)), 2) if len(word) else (np.zeros(0, np.uint64), np.zeros((0, len(langs))))
-    return Model(langs, words, {k: table(*_grams(cps, length, k), 2) for k in range(1, n_max + 1)} if len(word) else {})
+    words = table(X.span_hash(_hash(cps), end - length, end), np.arange(len(word))) if len(word) else (np.zeros(0, np.uint64), np.zeros((0, len(langs))))
+    return Model(langs, words, {k: table(*_grams(cps, length, k)) for k in range(1, n_max + 1)} if len(word) else {})
 
 
 def score(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +214,11 @@ def identify(docs: DataFrame, model: Model, min_known: float = 0.3, min_confiden
 
 
 def keep_identified(docs: DataFrame, model: Model, min_known: float = 0.3, min_confidence: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, that identify would keep. Columns of any name and type pass through."""
+    """The rows of docs, all columns as they are, that identify would keep. Columns of any name and type pass through.
+
+    A null, empty or letterless text goes; repeated rows stay or go together; a null doc_id makes no difference. An empty
+    table gives an empty one. Map side only, without a shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     at = [c.lower() for c in docs.columns].index("text")
