@@ -15,8 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import text as X
 
+#: Documents with deletions, and deletions, up to which they are broadcast to the texts; beyond it both are shuffled.
+BROADCAST_ROWS, BROADCAST_STARTS = 300_000, 4_000_000
+
 
 def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all lines, and where each text's lines start. An empty text has none."""
@@ -79,7 +83,7 @@ def fingerprints(docs: DataFrame, min_lines: int) -> DataFrame:
 def later_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     """(doc_id, copy, starts): by document, the first lines of all runs of min_lines lines that occur earlier, that is, in
     a document before it in the order of (doc_id, text hash) or above in the same one. copy is the hash of the text."""
-    fps = fingerprints(docs, min_lines)
+    fps = cut(fingerprints(docs, min_lines), "fingerprints")
     again = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
     reach = min_lines - 1
     runs = F.array(*[F.struct(F.slice("around", reach - o + 1, min_lines).alias("run"), (F.col("line") - o).alias("start")) for o in range(min_lines)])
@@ -145,7 +149,10 @@ def _with_runs(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFr
         each = dead.select("doc_id", "copy", F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))).alias("gone"))
         both = each.unionByName(later_long_runs(docs, min_lines, min_words))
         dead = both.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("starts"))
-    dead = dead.select(F.struct("doc_id", "copy", "starts").alias("__dead"))
+    dead = cut(dead.select(F.struct("doc_id", "copy", "starts").alias("__dead")), "deletions")
+    n = dead.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__dead.starts")), F.lit(0))).first()
+    if n[0] <= BROADCAST_ROWS and n[1] <= BROADCAST_STARTS:
+        dead = F.broadcast(dead)
     row = docs.select(F.struct("*").alias("__row"))
     return row.join(dead, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__dead.doc_id")) & (F.xxhash64("__row.text") == F.col("__dead.copy")), "left")
 
@@ -171,7 +178,11 @@ def dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) ->
 
 
 def dedup_documents(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """The rows of docs with the text of dedup; n_chars follows. Rows that lose every line, later copies, are left out."""
+    """The rows of docs with the text of dedup; n_chars follows. Rows that lose every line, later copies, are left out.
+
+    Null and empty texts stay as they are; repeated rows stay or go together, since they are one document; null doc_ids come
+    before all others. Other columns pass through, whatever their names. An empty table gives an empty one.
+    """
     span = min_lines if min_words is None else 1
     names = [c.lower() for c in docs.columns]
     extra = next(x for x in ("starts" + "_" * k for k in range(len(names) + 1)) if x not in names)
