@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 WORDS = re.compile("[^ \t\n\r]+")
@@ -119,3 +120,42 @@ def repeats(docs, w=50):
                 lo = q
             prev = q
     return out
+
+
+def language(counts, text, n_max=5, min_count=2):
+    """counts: {(lang, word): n} -> ({lang: score}, words, words that are known for sure) of a text, by the rule alone."""
+    langs = sorted({lang for lang, _ in counts})
+
+    def logs(pieces):
+        total = collections.Counter()
+        for (_, x), n in pieces.items():
+            total[x] += n
+        kept = {x for x, n in total.items() if n >= min_count}
+        size = {lang: sum(n for (at, x), n in pieces.items() if at == lang and x in kept) + 0.1 * max(1, len(kept)) for lang in langs}
+        return {x: {lang: math.log((pieces.get((lang, x), 0) + 0.1) / size[lang]) for lang in langs} for x in kept}
+
+    words_ = logs(counts)
+    grams = {}
+    for n in range(1, n_max + 1):
+        pieces = collections.Counter()
+        for (lang, w), c in counts.items():
+            for i in range(len(w) - n + 1):
+                pieces[lang, w[i : i + n]] += c
+        grams[n] = logs(pieces)
+    score, found, sure = dict.fromkeys(langs, 0.0), 0, 0
+    for w in "".join(c if c.isalpha() else " " for c in text or "").lower().split():
+        found += 1
+        if w in words_:
+            sure += 1
+            hits = [words_[w]]
+        else:
+            hits = []
+            for n in range(min(n_max, len(w)), 0, -1):
+                own = [w[i : i + n] for i in range(len(w) - n + 1)]
+                known = [grams[n][g] for g in own if g in grams[n]]
+                if 2 * len(known) >= len(own):
+                    hits, sure = known, sure + (n >= 3)
+                    break
+        for lang in langs:
+            score[lang] += sum(h[lang] for h in hits) / max(1, len(hits))
+    return score, found, sure

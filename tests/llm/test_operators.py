@@ -1,10 +1,12 @@
 import base64
+import collections
 import gzip
 import hashlib
 import io
 import itertools
 import math
 import random
+import re
 
 import brute
 import numpy as np
@@ -127,8 +129,9 @@ def test_tokenize_round_trip(spark, hard):
     got = {r.doc_id: r for r in sentencepiece.tokenize(df, MODEL).collect()}
     for k, t in texts:
         assert got[k].decoded == t and (got[k].ids is None) == (t is None) and got[k].n_tokens == len(got[k].ids or [])
-    odd = spark.createDataFrame([(1, "▁ a\x00b\r\n\t  c 😀"), (1, "x" * 300_000), (None, "y")], "doc_id long, text string")
-    assert sorted(r.decoded[:20] for r in sentencepiece.tokenize(odd, MODEL).collect()) == sorted([" ▁ a\x00b"[1:2] and " " + " a\x00b\r\n\t  c 😀", "x" * 20, "y"])
+    odd = ["▁ a\x00b\r\n\t  c 😀", "▁", "▁▁ ▁x▁y ▁", "x▁y", "▀▂ ▁", " ▁", "x" * 300_000, "y"]
+    df = spark.createDataFrame([(None if t == "y" else 1, t) for t in odd], "doc_id long, text string")
+    assert sorted(r.decoded for r in sentencepiece.tokenize(df, MODEL).collect()) == sorted(odd)
     assert sentencepiece.tokenize(empty(spark), MODEL).count() == 0
 
 
@@ -226,7 +229,7 @@ def test_many_short_texts_in_one_batch(spark):
     assert got == {1: (1, 1), 70_000: (1, 1), 69_999: (69_999, 1), 70_001: (69_999, 1)}
 
 
-def test_texts_longer_than_a_slice(spark):
+def test_near_texts_longer_than_a_slice(spark):
     rng = random.Random(11)
     long = sentence(rng, 400_000, 10**6)
     assert len(long) > 1.5 * jaccard._SLICE
@@ -318,6 +321,24 @@ def test_warc_files_of_others():
     assert list(warc.records(io.BytesIO(b""), 4)) == []
 
 
+def test_warc_http_blocks_without_a_whole_header():
+    def got(body, kind="application/http; msgtype=response"):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: {kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        rows = list(warc.records(io.BytesIO(head + body + b"\r\n\r\n" + head + body), 10))
+        assert all(len(r[6]) <= 10 for r in rows) and sum(r[4] == 0 for r in rows) == 2
+        mine = rows[: len(rows) // 2]
+        assert mine[-1][7] == hashlib.sha1(b"".join(r[6] for r in mine)).hexdigest() and [r[8] for r in mine] == [False] * (len(mine) - 1) + [True]
+        return mine[0][3], b"".join(r[6] for r in mine)
+
+    assert got(b"") == (None, b"")
+    for body in (b"HTTP/1.1 200 OK", b"HTTP/1.1 200 OK\r\nA: b\r\n", b"x" * 50, b"x" * (warc._HEAD + 30)):
+        assert got(body) == (None, body)
+    assert got(b"HTTP/1.1 404 No\r\n\r\nbody") == (404, b"body") and got(b"HTTP/1.1 200\r\n\r\n") == (200, b"") and got(b"HTTP/1.1 200\r\n\r\n", "text/html") == (None, b"HTTP/1.1 200\r\n\r\n")
+    for bad in (b"WARC/1.1\r\nContent-Length: -1\r\n\r\n", b"WARC/1.1\r\nA: b\r\n\r\n", b"WARC/1.1\r\nContent-Length: 0\r\n", b"WARC/1.1" + b"x" * (2 * warc._HEAD)):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(bad), 10))
+
+
 # 5
 
 
@@ -445,6 +466,31 @@ def test_backoff_from_words_to_shorter_grams():
     assert d["n_words"].tolist() == [1, 1, 2, 1, 0, 0]
 
 
+def test_language_scores_equal_brute_force():
+    rng = random.Random(7)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    counts = collections.Counter()
+    for lang, letters in (("a", "abcdé"), ("b", "cdefg"), ("c", "xyzß")):
+        for _ in range(150):
+            counts[lang, make(letters)] += rng.randint(1, 3)
+    model = langid._model(["a", "b", "c"], [k for k, _ in counts], [w for _, w in counts], np.array(list(counts.values()), float), 5)
+    texts = [" ".join(make(rng.choice(["abcdé", "cdefg", "xyzß", "abcxyz", "ABCdE", "qrs"])) for _ in range(rng.randint(0, 12))) + rng.choice(["", " 12, x.", "!"]) for _ in range(120)]
+    scores, n, sure = langid.score(model, *X.buffers(pa.array(texts)))
+    decided = langid.decide(model, *X.buffers(pa.array(texts)), 0.3, 0.5)
+    for k, t in enumerate(texts):
+        want, found, known = brute.language(counts, t)
+        assert (n[k], sure[k]) == (found, known) and np.allclose(scores[k], [want[x] for x in "abc"])
+        top = max(want.values())
+        confidence = 1 / sum(math.exp(v - top) for v in want.values())
+        assert decided["keep"][k] == (known > 0 and known >= 0.3 * found and confidence >= 0.5)
+
+
+def test_language_model_counts_its_sample(spark):
+    docs = spark.createDataFrame([(k, "Ab ab, cd cd once%d" % k, "x") for k in range(5)] + [(9, None, "x"), (10, "ef ef", None)], "doc_id long, text string, lang string")
+    model, known = langid.fit(docs), langid._model(["x"], ["x"] * 7, ["ab", "cd"] + ["once"] * 5, np.array([10.0, 10, 1, 1, 1, 1, 1]), 5)
+    assert model.langs == ["x"] and (model.words[0] == known.words[0]).all() and np.allclose(model.words[1], known.words[1])
+
+
 def test_unseen_languages_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
@@ -518,6 +564,31 @@ def test_pipeline_deletes_long_single_lines(spark):
     assert {r.doc_id: r.text for r in C.line_dedup(spark, docs, "").collect()} == {0: "a\n" + long, 1: "b\nOf.", 2: "c\nOf."}
 
 
+def test_shuffled_deletions(spark, hard, monkeypatch):
+    texts, df = hard
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == brute.line_dedup(dict(texts))
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts of more than 2 MB, beside short ones: nothing is cut off."""
+    rng = random.Random(14)
+    long = "\n".join(sentence(rng, 12, 10**6) for _ in range(30_000))
+    passage = "\n".join(long.split("\n")[-10:-2])
+    texts = {0: long, 1: "short one", 2: "first\n" + passage + "\nlast", 3: long + "\nend"}
+    assert len(long) > 2_200_000
+    df = table(spark, list(texts.items()), False)
+    assert {r.doc_id: r.decoded for r in sentencepiece.tokenize(df, MODEL).collect()} == texts
+    model = langid.fit(df.selectExpr("doc_id", "text", "'en' AS lang"))
+    assert {r.doc_id: r.n_words for r in langid.identify(df, model).collect()} == {k: len(re.findall("[a-zA-Z]+", t)) for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == brute.line_dedup(texts)
+    n = 12 * 30_000
+    spans = {tuple(r) for r in suffixes.repeats(df).select("doc_id", "kind", "start_word", "end_word").collect()}
+    assert spans == {(0, "repeated", 0, n), (2, "repeated", 1, 97), (2, "later", 1, 97), (3, "repeated", 0, n), (3, "later", 0, n)}
+    scored = {r.doc_id: r.score for r in quality.classify(df, quality.fit(df, spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int"))).collect()}
+    assert len(scored) == 4 and all(0 <= v <= 1 for v in scored.values())
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 4, 500).astype(np.uint64)
