@@ -35,19 +35,24 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, the table of powers too."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c"))
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, giving freed memory back to the system at its end: idle Python workers stay with their executor."""
+    """run, with release at its end: idle Python workers stay with their executor."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.CDLL(ctypes.util.find_library("c"))
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            release()  # by its name: what a nested function itself refers to is sent along with it
 
     return wrapped
 
