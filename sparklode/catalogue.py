@@ -128,12 +128,12 @@ for _table in ("part", "orders"):
 
 @query(f"WITH {_occ('part')} SELECT DISTINCT column_name, keyword FROM occ")
 def column_keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.column_keywords(shred(_cells(spark, sf_dir, "part")))
+    return postings.column_tokens(shred(_cells(spark, sf_dir, "part")))
 
 
 @query(f"WITH {_occ('part')} SELECT DISTINCT keyword FROM occ")
 def global_keyword_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.column_keywords(shred(_cells(spark, sf_dir, "part"))).select("keyword").distinct()
+    return postings.column_tokens(shred(_cells(spark, sf_dir, "part"))).select("keyword").distinct()
 
 
 # Postings
@@ -323,7 +323,7 @@ def pruning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.pruning(i.row_groups, search.keyword(i.posting, *_TWO)).withColumn("percent_row_groups_skipped", F.col("percent_row_groups_skipped").cast("double")).withColumn("percent_rows_skipped", F.col("percent_rows_skipped").cast("double"))
 
 
-@query(f"WITH {_occ('part')}, {O.runs()} SELECT 1 AS version, 0.01::DOUBLE AS error_rate, 1::BIGINT AS files, 1::BIGINT AS row_groups, (SELECT count(*) FROM part) AS rows, count(DISTINCT column_name) AS columns, count(DISTINCT keyword) AS keywords, count(*) AS postings FROM runs")
+@query(f"WITH {_occ('part')}, {O.runs()} SELECT 1 AS version, 0.01::DOUBLE AS error_rate, 1::BIGINT AS files, 1::BIGINT AS row_groups, (SELECT count(*) FROM part) AS rows, count(DISTINCT column_name) AS columns, count(DISTINCT keyword) AS tokens, count(*) AS postings FROM runs")
 def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.info(index_of(spark, sf_dir, "part"))
 

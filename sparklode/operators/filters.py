@@ -1,11 +1,11 @@
-"""Membership filters: exact sets for columns with few keywords, Bloom filters for the others, kept as tables."""
+"""Membership filters: exact sets for columns with few tokens, Bloom filters for the others, kept as tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct keywords below which a column keeps the set itself.
+#: Distinct tokens below which a column keeps the set itself.
 SET_BELOW = 100
 #: The name under which the filter over all columns is kept.
 GLOBAL = ""
@@ -17,11 +17,11 @@ def check_error_rate(p: float) -> float:
     return p
 
 
-def parameters(column_keywords: DataFrame, error_rate: float = 0.01) -> DataFrame:
+def parameters(column_tokens: DataFrame, error_rate: float = 0.01) -> DataFrame:
     """(column_name, kind, num_items, num_bits, num_hashes) for each column and, as '', for all of them."""
     check_error_rate(error_rate)
-    counts = column_keywords.groupBy("column_name").agg(F.countDistinct("keyword").alias("num_items"))
-    counts = counts.unionByName(column_keywords.agg(F.countDistinct("keyword").alias("num_items")).select(F.lit(GLOBAL).alias("column_name"), "num_items"))
+    counts = column_tokens.groupBy("column_name").agg(F.countDistinct("keyword").alias("num_items"))
+    counts = counts.unionByName(column_tokens.agg(F.countDistinct("keyword").alias("num_items")).select(F.lit(GLOBAL).alias("column_name"), "num_items"))
     n = F.greatest(F.col("num_items"), F.lit(1)).cast("double")
     bits = F.ceil(-n * F.log(F.lit(float(error_rate))) / (F.log(F.lit(2.0)) * F.log(F.lit(2.0)))).cast("long")
     kind = F.when(F.col("num_items") < SET_BELOW, "set").otherwise("bloom")
@@ -29,25 +29,25 @@ def parameters(column_keywords: DataFrame, error_rate: float = 0.01) -> DataFram
     return out.withColumn("num_hashes", F.greatest(F.lit(1), F.ceil(F.col("num_bits") / n * F.log(F.lit(2.0)))).cast("int"))
 
 
-def _positions(keywords: DataFrame) -> DataFrame:
-    """keywords joined with their filter's parameters, one row for each hash: the word and bit of the bitmap."""
-    hashed = keywords.withColumn("__seed", F.explode(F.sequence(F.lit(1), F.col("num_hashes"))))
+def _positions(tokens: DataFrame) -> DataFrame:
+    """tokens joined with their filter's parameters, one row for each hash: the word and bit of the bitmap."""
+    hashed = tokens.withColumn("__seed", F.explode(F.sequence(F.lit(1), F.col("num_hashes"))))
     at = F.pmod(F.xxhash64("__seed", "keyword"), F.col("num_bits"))
     return hashed.withColumn("word", F.floor(at / 64).cast("long")).withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")))
 
 
-def build(column_keywords: DataFrame, error_rate: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(column_tokens: DataFrame, error_rate: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parameters, bitmaps, sets): bitmaps (column_name, word, bits) of the Bloom filters in words of 64 bits, sets
     (column_name, keyword) of the exact ones. No row holds a whole filter, so none is too large for one."""
-    params = parameters(column_keywords, error_rate)
-    members = column_keywords.select("column_name", "keyword").unionByName(column_keywords.select(F.lit(GLOBAL).alias("column_name"), "keyword")).distinct().join(F.broadcast(params), "column_name")
+    params = parameters(column_tokens, error_rate)
+    members = column_tokens.select("column_name", "keyword").unionByName(column_tokens.select(F.lit(GLOBAL).alias("column_name"), "keyword")).distinct().join(params, "column_name")
     bitmaps = _positions(members.filter("kind = 'bloom'")).groupBy("column_name", "word").agg(F.bit_or("bit").alias("bits"))
     return params, bitmaps, members.filter("kind = 'set'").select("column_name", "keyword")
 
 
 def probe(wanted: DataFrame, params: DataFrame, bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
     """(column_name, keyword, might_contain) of each distinct wanted (column_name, keyword); never false for a member."""
-    asked = wanted.select("column_name", "keyword").distinct().join(F.broadcast(params), "column_name")
+    asked = wanted.select("column_name", "keyword").distinct().join(params, "column_name")
     place = _positions(asked.filter("kind = 'bloom'")).join(bitmaps, ["column_name", "word"], "left")
     bloom = place.groupBy("column_name", "keyword").agg(F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("might_contain"))
     exact = asked.filter("kind = 'set'").select("column_name", "keyword").join(sets.select("column_name", "keyword", F.lit(True).alias("there")), ["column_name", "keyword"], "left")

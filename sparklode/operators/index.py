@@ -7,6 +7,7 @@ bitmaps and sets, row_groups and meta.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,28 +21,92 @@ from .shred import shred
 VERSION = 1
 
 
+#: Schemas of an index's tables, so that opening one infers nothing.
+SCHEMAS = {
+    "posting": "keyword string, column_name string, column_pos int, file_path string, row_group int, start_row long, end_row long, splits int, parent string, ord int",
+    "filter": "column_name string, kind string, num_items long, num_bits long, num_hashes int", "bitmap": "column_name string, word long, bits long", "set": "column_name string, keyword string",
+    "row_groups": "file_path string, row_group int, first_row long, num_rows long, file_size long, file_modified timestamp",
+    "meta": "version int, table_path string, error_rate double, delimiters array<string>, indexed_columns array<string>",
+}
+#: Words of Bloom filters, set members and row groups that an opened index holds on the driver; larger ones stay tables.
+HELD_ROWS = 1_000_000
+
+
 @dataclass
 class Index:
-    """An opened index. table: the path of what it indexes."""
+    """An opened index. What a search needs of it besides postings is read once: its facts, its row groups and filters, if
+    they are few. An index that is built anew is opened anew."""
 
     spark: SparkSession
     path: str
     prefix: str = ""
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.prefix}{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{self.prefix}{name}")
 
-    @property
+    @cached_property
     def posting(self) -> DataFrame:
         return self.read("posting")
 
-    @property
+    @cached_property
     def row_groups(self) -> DataFrame:
-        return self.read("row_groups")
+        return self._held("row_groups")
+
+    @cached_property
+    def meta(self) -> dict:
+        return self.read("meta").first().asDict()
 
     @property
     def table(self) -> str:
-        return self.read("meta").select("table_path").first()[0]
+        return self.meta["table_path"]
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The indexed table."""
+        return self.spark.read.parquet(self.table)
+
+    def _held(self, name: str) -> DataFrame:
+        """A table of the index, as a local one if it is small."""
+        few = self.read(name).limit(HELD_ROWS + 1).toArrow()
+        return self.spark.createDataFrame(few, self.read(name).schema) if few.num_rows <= HELD_ROWS else self.read(name)
+
+    @cached_property
+    def _filters(self) -> dict | None:
+        """By column ('' for all): a set of tokens, or (bits, hashes, words); None if they are too large for the driver."""
+        params = self.read("filter").collect()
+        if sum(r["num_bits"] // 64 + 1 if r["kind"] == "bloom" else r["num_items"] for r in params) > HELD_ROWS:
+            return None
+        words, sets = ({r["column_name"]: {} if x == "bitmap" else set() for r in params} for x in ("bitmap", "set"))
+        for r in self.read("bitmap").toLocalIterator():
+            words[r["column_name"]][r["word"]] = r["bits"]
+        for r in self.read("set").toLocalIterator():
+            sets[r["column_name"]].add(r["keyword"])
+        return {r["column_name"]: sets[r["column_name"]] if r["kind"] == "set" else (r["num_bits"], r["num_hashes"], words[r["column_name"]]) for r in params}
+
+    def might_contain(self, word: str, column: str | None = None) -> bool:
+        """False only if the index surely lacks the token (in the column, if one is given), by its filters: the global one
+        first, then the column's. Without filters on the driver always true; the postings' own Bloom filters then decide."""
+        if self._filters is None:
+            return True
+        for name in (filters.GLOBAL,) if column is None else (filters.GLOBAL, column):
+            held = self._filters.get(name)
+            if held is None:
+                return False
+            if isinstance(held, set):
+                if word not in held:
+                    return False
+                continue
+            bits, hashes, words = held
+            at = self.spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.lit(word)), F.lit(bits)) for k in range(1, hashes + 1)])).first()[0] if word not in self._places.setdefault(bits, {}) else self._places[bits][word]
+            if len(self._places[bits]) < 10_000:
+                self._places[bits][word] = at
+            if not all(words.get(x // 64, 0) >> (x % 64) & 1 for x in at):
+                return False
+        return True
+
+    @cached_property
+    def _places(self) -> dict:
+        return {}
 
 
 def location(path: str) -> str:
@@ -49,8 +114,9 @@ def location(path: str) -> str:
 
 
 def build_postings(spark: SparkSession, path: str, columns: list[str] | None = None, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """The postings of a table, range-partitioned and sorted by keyword; the one shuffle also serves the run lengths."""
-    occurrences = shred(cells(spark, path, columns, exclude)).repartitionByRange(*postings.PLACE)
+    """The postings of a table, range-partitioned and sorted by keyword; the one shuffle also serves the run lengths. The
+    occurrences are written first, so that the sample for the ranges does not shred the cells a second time."""
+    occurrences = cut(shred(cells(spark, path, columns, exclude)), "occurrences").repartitionByRange(*postings.PLACE)
     return postings.run_lengths(occurrences).sortWithinPartitions("keyword", "column_name", "file_path", "row_group", "start_row")
 
 
@@ -86,15 +152,15 @@ def open_index(spark: SparkSession, path: str, index_path: str | None = None, pr
     if not exists(spark, path, index_path, prefix):
         raise FileNotFoundError(f"no index at {index_path or location(path)}")
     index = Index(spark, index_path or location(path), prefix)
-    version = index.read("meta").select("version").first()[0]
+    version = index.meta["version"]
     if version != VERSION:
         raise ValueError(f"the index has version {version}, this program reads {VERSION}")
     return index
 
 
 def info(index: Index) -> DataFrame:
-    """One row: version, error_rate, files, row_groups, rows, columns, keywords, postings."""
-    p = index.posting.agg(F.countDistinct("column_name").alias("columns"), F.countDistinct("keyword").alias("keywords"), F.count(F.lit(1)).alias("postings"))
+    """One row: version, error_rate, files, row_groups, rows, columns, tokens, postings."""
+    p = index.posting.agg(F.countDistinct("column_name").alias("columns"), F.countDistinct("keyword").alias("tokens"), F.count(F.lit(1)).alias("postings"))
     g = index.row_groups.agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("row_groups"), F.coalesce(F.sum("num_rows"), F.lit(0)).alias("rows"))
     return index.read("meta").select("version", "error_rate").crossJoin(g).crossJoin(p)
 

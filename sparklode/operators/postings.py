@@ -31,7 +31,7 @@ def keyword_stats(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("keyword", "column_name").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(row).alias("rows"), F.bit_or("splits").alias("splits"))
 
 
-def column_keywords(occurrences: DataFrame) -> DataFrame:
+def column_tokens(occurrences: DataFrame) -> DataFrame:
     return occurrences.select("column_name", "keyword").distinct()
 
 

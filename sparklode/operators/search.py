@@ -1,4 +1,4 @@
-"""Searches in postings: keywords, membership, phrases by token parents, and phrases checked against the text."""
+"""Searches in postings: tokens, membership, phrases by token parents, and phrases checked against the text."""
 
 from __future__ import annotations
 
@@ -20,6 +20,13 @@ def keyword(postings: DataFrame, word: str, column: str | None = None) -> DataFr
     return (hit if column is None else hit.filter(F.col("column_name") == column)).select(*_HIT, "splits", "parent")
 
 
+def lookup(index: Index, word: str, column: str | None = None) -> DataFrame:
+    """keyword, after the index's filters were asked: a token that they reject is not looked for."""
+    if index.might_contain(word, column):
+        return keyword(index.posting, word, column)
+    return keyword(index.spark.createDataFrame([], index.posting.schema), word, column)
+
+
 def in_column(postings: DataFrame, word: str, column: str) -> bool:
     return bool(keyword(postings, word, column).limit(1).count())
 
@@ -47,7 +54,7 @@ def phrase_candidates(postings: DataFrame, phrase: str, column: str | None = Non
     rows = to_rows(hits.select("keyword", *_HIT, "parent"))
     by_token = rows.groupBy("column_name", "file_path", "row_group", "row", "keyword").agg(F.collect_set(F.coalesce("parent", F.lit(""))).alias("parents"))
     whole = by_token.groupBy("column_name", "file_path", "row_group", "row").agg(F.collect_list("parents").alias("parents_by_token"))
-    return whole.join(F.broadcast(found), "file_path").filter(F.size("parents_by_token") == F.col("n_found")).drop("n_found")
+    return whole.join(found, "file_path").filter(F.size("parents_by_token") == F.col("n_found")).drop("n_found")
 
 
 def _walk(postings: DataFrame, parents: DataFrame, phrase: str) -> DataFrame:
@@ -107,11 +114,9 @@ def phrase_strict(index: Index, text: str, column: str | None = None) -> DataFra
         tests = [F.col("keyword").contains(pieces[0])]
     else:
         tests = inner + ([F.col("keyword").endswith(pieces[0])] if pieces[0] else []) + ([F.col("keyword").startswith(pieces[-1])] if pieces[-1] else [])
-    meta = index.read("meta").select("indexed_columns").first()[0]
-    columns = [c for c in meta if column is None or c == column]
+    columns = [c for c in index.meta["indexed_columns"] if column is None or c == column]
     spark, roots = index.spark, sorted({c.split(".")[0] for c in columns})
-    table = spark.read.parquet(index.table)
-    base = addressed(spark, table.select(*[f"`{c}`" for c in roots]), index.row_groups)
+    base = addressed(spark, index.rows.select(*[f"`{c}`" for c in roots]), index.row_groups)
     if tests:
         postings = index.posting if column is None else index.posting.filter(F.col("column_name") == column)
         any_test = tests[0]
@@ -127,11 +132,24 @@ def phrase_strict(index: Index, text: str, column: str | None = None) -> DataFra
 
 
 def search(index: Index, text: str, column: str | None = None, keyword_only: bool = False) -> DataFrame:
-    """(column_name, file_path, row_group, start_row, end_row, status): the unified search, as ranges of rows; status is
-    confirmed or needs_verification."""
-    if keyword_only:
-        return keyword(index.posting, text, column).select(*_HIT, F.lit("confirmed").alias("status")).distinct()
-    rows = phrase(index.posting, text, column)
+    """(column_name, file_path, row_group, start_row, end_row, status, splits): the unified search, as ranges of rows; status
+    is confirmed or needs_verification. splits are the bits of a token's runs; of a phrase, bit L for its lowest delimiter
+    level L. Tokens that the index's filters reject are not looked for."""
+    wanted = K.split_phrase(text)
+    if keyword_only or len(wanted) == 1:
+        hits = lookup(index, text if keyword_only else wanted[0], column).groupBy(*_HIT).agg(F.bit_or("splits").alias("splits"))
+        return hits.select(*_HIT, F.lit("confirmed").alias("status"), "splits")
+    rows = phrase(index.posting if any(index.might_contain(w, column) for w in wanted) else index.posting.limit(0), text, column)
     place = ["column_name", "file_path", "row_group"]
     sides = [to_ranges(rows.filter(s), place).withColumn("status", F.lit(s)) for s in ("confirmed", "needs_verification")]
-    return sides[0].unionByName(sides[1]).select(*_HIT, "status")
+    return sides[0].unionByName(sides[1]).select(*_HIT, "status", F.lit(1 << K.phrase_level(text)).alias("splits"))
+
+
+def summary(index: Index, text: str, column: str | None = None, keyword_only: bool = False) -> DataFrame:
+    """One row: query, tokens asked for, found, columns (sorted), total_occurrences (rows in ranges that are confirmed),
+    to_verify (in ranges that are not), and all bits of splits."""
+    n = F.col("end_row") - F.col("start_row") + 1
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, n)), F.lit(0)).alias
+    got = search(index, text, column, keyword_only).agg(F.sort_array(F.collect_set("column_name")).alias("columns"), of("confirmed")("total_occurrences"), of("needs_verification")("to_verify"), F.coalesce(F.bit_or("splits"), F.lit(0)).alias("splits"))
+    tokens = [text] if keyword_only else K.split_phrase(text)
+    return got.select(F.lit(text).alias("query"), F.array(*map(F.lit, tokens)).cast("array<string>").alias("tokens"), (F.size("columns") > 0).alias("found"), "columns", "total_occurrences", "to_verify", "splits")

@@ -14,4 +14,4 @@ def where_contains(index: Index, column: str, text: str, columns: list[str] | No
     the rows, so only cells that hold the text's tokens are compared."""
     hits = search.phrase_strict(index, text, column)
     ranges = hits.select("file_path", "row_group", F.col("row").alias("start_row"), F.col("row").alias("end_row"))
-    return fetch.rows(index.spark, index.table, ranges, columns, index.row_groups)
+    return fetch.rows(index.spark, index.rows, ranges, columns, index.row_groups)

@@ -184,7 +184,7 @@ def test_table_without_tokens(spark, tmp_path):
     table = str(tmp_path / "t.parquet")
     spark.createDataFrame([(None,), ("",), (" ",)], "s string").write.parquet(table)
     i = index.build(spark, table)
-    assert index.info(i).first().keywords == 0 and search.search(i, "a b").count() == 0
+    assert index.info(i).first().tokens == 0 and search.search(i, "a b").count() == 0
 
 
 def test_maps_are_refused(spark):
