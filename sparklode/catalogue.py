@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions import tokens as K
 from .operators import combine, fetch, filters, index, postings, search
 from .operators.shred import shred, shred_plan
 from .session import scratch, ship
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 #: Key and text columns of the tables that the queries index.
 TABLES = {
-    "documents": ("doc_id", ["text"]), "pages": ("page_id", ["url"]), "events": ("event_id", ["event_type", "props"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+    "documents": ("doc_id", ["text"]), "pages": ("page_id", ["url", "html"]), "events": ("event_id", ["event_type", "props"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
     "part": ("p_partkey", ["p_name", "p_brand", "p_type"]), "conversations": ("conv_id, turn", ["role", "text"]), "customer": ("c_custkey", ["c_name", "c_mktsegment"]),
 }
 _indexes: dict[tuple, index.Index] = {}
@@ -73,16 +73,52 @@ def exclude_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cells(ship(spark), f"{sf_dir}/part.parquet", exclude=["p_brand", "p_retailprice"]).select("row_in_group", "column_name", "text")
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 1 THEN '' WHEN 2 THEN props END AS text FROM events WHERE event_id % 3 = 2 AND props <> ''")
+@query("SELECT event_id, 'event_type' AS column_name, event_type AS text FROM events WHERE event_type <> '' UNION ALL SELECT event_id, 'props', props FROM events WHERE props <> ''")
 def null_empty_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls (two in six rows) and empty texts give no cell."""
-    e = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 1, "").when(F.col("event_id") % 3 == 2, F.col("props")).alias("props"))
-    return C.unpivot(e, ["event_id"]).select("event_id", "text")
+    """Every cell that is not null and not empty, and no other."""
+    return C.unpivot(_read(spark, sf_dir, "events"), ["event_id"], ["event_type", "props"]).select("event_id", "column_name", "text")
 
 
-@query("SELECT r.row_group, r.first_row, r.num_rows FROM (SELECT 0 AS row_group, CAST(0 AS BIGINT) AS first_row, (SELECT count(*) FROM events) AS num_rows) r")
+#: Rows of a file and of a row group of the table in pieces.
+FILE_ROWS, GROUP_ROWS = 2500, 400
+_pieces: dict[tuple, index.Index] = {}
+_PIECES = f"SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // {FILE_ROWS} AS file_no, (row_number() OVER (ORDER BY event_id) - 1) % {FILE_ROWS} // {GROUP_ROWS} AS row_group, (row_number() OVER (ORDER BY event_id) - 1) % {FILE_ROWS} % {GROUP_ROWS} AS row FROM events"
+
+
+def write_pieces(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """events as Parquet files of FILE_ROWS rows in row groups of GROUP_ROWS, file-00000.parquet and so on."""
+
+    def write(key, table):
+        import pyarrow.parquet as pq
+
+        from sparklode.sources.files import open_output
+
+        name = f"{folder}/file-{key[0].as_py():05d}.parquet"
+        with open_output(name) as out:
+            pq.write_table(table.sort_by("event_id").select(["event_id", "event_type", "props"]), out, row_group_size=GROUP_ROWS)
+        return pa.table({"path": [name]})
+
+    rows = C.addressed(ship(spark), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props"))
+    rows.withColumn("file_no", F.floor(F.col("row_in_group") / FILE_ROWS)).groupBy("file_no").applyInArrow(write, "path string").count()
+    return folder
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index of events in many files and row groups, all columns, built once in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _pieces:
+        table = write_pieces(spark, sf_dir, scratch(spark, "pieces"))
+        _pieces[at] = index.build(spark, table, scratch(spark, "pieces-index"))
+    return _pieces[at]
+
+
+def _file_no(name: str = "file_path"):
+    return F.regexp_extract(name, "file-(\\d+)", 1).cast("long").alias("file_no")
+
+
+@query(f"SELECT file_no, CAST(row_group AS INTEGER) AS row_group, CAST(row_group * {GROUP_ROWS} AS BIGINT) AS first_row, count(*) AS num_rows FROM ({_PIECES}) GROUP BY ALL")
 def row_group_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.row_groups(ship(spark), _read(spark, sf_dir, "events")).select("row_group", "first_row", "num_rows")
+    return C.row_groups(ship(spark), pieces(spark, sf_dir).rows).select(_file_no(), "row_group", "first_row", "num_rows")
 
 
 # Tokens
@@ -160,36 +196,50 @@ def total_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Filters
 
-_COUNTS = f"WITH {_occ('part')}, names AS (SELECT DISTINCT column_name, keyword FROM occ), counts AS (SELECT column_name, count(*) AS n FROM names GROUP BY 1 UNION ALL SELECT '', count(DISTINCT keyword) FROM names)"
+_NAMES = f"WITH {_occ('customer')}, names AS (SELECT DISTINCT column_name, keyword FROM occ)"
+_COUNTS = f"{_NAMES}, counts AS (SELECT column_name, count(*) AS n FROM names GROUP BY 1 UNION ALL SELECT '', count(DISTINCT keyword) FROM names)"
 
 
 @query(f"{_COUNTS}, m AS (SELECT column_name, n, CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))) AS BIGINT) AS num_bits FROM counts) SELECT column_name, CAST(n AS BIGINT) AS num_items, num_bits, CAST(greatest(1, ceil(num_bits / CAST(n AS DOUBLE) * ln(2::DOUBLE))) AS INTEGER) AS num_hashes FROM m")
 def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.parameters(QUERIES["column_keyword_sets"](spark, sf_dir)).select("column_name", "num_items", "num_bits", "num_hashes")
+    return index_of(spark, sf_dir, "customer").read("filter").select("column_name", "num_items", "num_bits", "num_hashes")
 
 
 @query(f"{_COUNTS} SELECT column_name, CASE WHEN n < 100 THEN 'set' ELSE 'bloom' END AS kind FROM counts")
 def filter_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.parameters(QUERIES["column_keyword_sets"](spark, sf_dir)).select("column_name", "kind")
+    """A set for the few market segments, Bloom filters for the many names and for all columns together."""
+    return index_of(spark, sf_dir, "customer").read("filter").select("column_name", "kind")
+
 
+def _probed(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    i = index_of(spark, sf_dir, "customer")
+    return filters.probe(asked, i.read("filter"), i.read("bitmap"), i.read("set"))
 
-@query(f"WITH {_occ('part')}, names AS (SELECT DISTINCT column_name, keyword FROM occ UNION SELECT '', keyword FROM occ) SELECT column_name, count(*) AS members, count(*) AS passed FROM names GROUP BY 1")
+
+@query(f"{_NAMES}, both_ AS (SELECT * FROM names UNION SELECT '', keyword FROM names) SELECT column_name, count(*) AS members, count(*) AS passed FROM both_ GROUP BY 1")
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every member passes the filter of its column and the global one."""
-    i = index_of(spark, sf_dir, "part")
-    names = i.posting.select("column_name", "keyword").distinct()
+    names = index_of(spark, sf_dir, "customer").posting.select("column_name", "keyword").distinct()
     asked = names.unionByName(names.select(F.lit(filters.GLOBAL).alias("column_name"), "keyword"))
-    got = filters.probe(asked, i.read("filter"), i.read("bitmap"), i.read("set"))
-    return got.groupBy("column_name").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("might_contain").cast("long")).alias("passed"))
+    return _probed(spark, sf_dir, asked).groupBy("column_name").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("might_contain").cast("long")).alias("passed"))
 
 
-@query(f"WITH {_occ('part')} SELECT true AS within_bound")
+@query(f"{_COUNTS}, asked AS (SELECT c.column_name, c.n AS members, (SELECT count(DISTINCT keyword) FROM names) AS asked FROM counts c) SELECT column_name, asked, members < 100 AS exact, true AS within_bound FROM asked")
 def bloom_false_positive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of absent words, the global filter passes at most 5 in 100 at an error rate of 1 in 100."""
-    i = index_of(spark, sf_dir, "part")
-    asked = i.posting.select(F.lit(filters.GLOBAL).alias("column_name"), F.concat(F.lit("absent@"), "keyword").alias("keyword")).distinct()
-    got = filters.probe(asked, i.read("filter"), i.read("bitmap"), i.read("set"))
-    return got.agg((F.avg(F.col("might_contain").cast("double")) <= 0.05).alias("within_bound"))
+    """Of as many absent words as there are tokens, sets pass none and Bloom filters at most 5 in 100, at an error rate of 1."""
+    i = index_of(spark, sf_dir, "customer")
+    words = i.posting.select(F.concat(F.lit("absent@"), "keyword").alias("keyword")).distinct()
+    kinds = i.read("filter").select("column_name", (F.col("kind") == "set").alias("exact"))
+    got = _probed(spark, sf_dir, words.join(kinds.select("column_name"))).groupBy("column_name").agg(F.count(F.lit(1)).alias("asked"), F.avg(F.col("might_contain").cast("double")).alias("rate"))
+    return got.join(kinds, "column_name").select("column_name", "asked", "exact", (F.col("rate") <= F.when(F.col("exact"), 0.0).otherwise(0.05)).alias("within_bound"))
+
+
+@query(f"{_NAMES} SELECT w.column_name, w.word, EXISTS (SELECT 1 FROM names n WHERE n.keyword = w.word AND (w.column_name = '' OR n.column_name = w.column_name)) AS might FROM (VALUES ('', 'Customer'), ('c_mktsegment', 'BUILDING'), ('c_mktsegment', 'Customer'), ('c_mktsegment', 'nothing'), ('nowhere', 'BUILDING')) w(column_name, word)")
+def filter_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search asks before it reads postings; for exact sets and absent columns the answer is exact."""
+    i = index_of(spark, sf_dir, "customer")
+    asked = [("", "Customer"), ("c_mktsegment", "BUILDING"), ("c_mktsegment", "Customer"), ("c_mktsegment", "nothing"), ("nowhere", "BUILDING")]
+    return spark.createDataFrame([(c, w, i.might_contain(w, c or None)) for c, w in asked], "column_name string, word string, might boolean")
 
 
 # Searches
@@ -199,7 +249,7 @@ _HITS = "column_name, start_row, end_row, splits, parent"
 
 def _search_query(name: str, table: str, word: str, column: str | None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.keyword(index_of(spark, sf_dir, table).posting, word, column).select("column_name", "start_row", "end_row", "splits", "parent")
+        return search.lookup(index_of(spark, sf_dir, table), word, column).select("column_name", "start_row", "end_row", "splits", "parent")
 
     QUERIES[name] = run
     where = f" AND column_name = '{column}'" if column else ""
@@ -225,7 +275,14 @@ def search_in_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, word string, present boolean")
 
 
-@query(f"WITH {_occ('pages')}, hit AS (SELECT * FROM occ WHERE keyword IN ('blog', 'example', 'example.com', 'com')) SELECT column_name, row FROM hit GROUP BY ALL HAVING count(DISTINCT keyword) = (SELECT count(DISTINCT keyword) FROM hit WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}) ) AND false UNION ALL SELECT column_name, row FROM occ WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}) GROUP BY ALL HAVING count(DISTINCT keyword) = (SELECT count(DISTINCT keyword) FROM occ WHERE keyword IN ({', '.join(repr(w) for w in K.split_phrase('example.com'))}))")
+#: Tokens and lowest delimiter level of the phrases that are asked for, spelled out for the oracles.
+PHRASES = {
+    "example.com/en": (["com", "en", "example", "example.com", "example.com/en"], 1), "example.com": (["com", "example", "example.com"], 2), "k: 26": (["26", "k:", "k: 26"], 0),
+    "of the": (["of", "of the", "the"], 0), "of.the": (["of", "of.the", "the"], 2),
+}
+
+
+@query(f"WITH {_occ('pages')} SELECT column_name, row FROM occ WHERE keyword IN ('com', 'example', 'example.com') GROUP BY ALL HAVING count(DISTINCT keyword) = (SELECT count(DISTINCT keyword) FROM occ WHERE keyword IN ('com', 'example', 'example.com'))")
 def phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase_candidates(index_of(spark, sf_dir, "pages").posting, "example.com").select("column_name", "row")
 
@@ -235,7 +292,7 @@ def _phrase_query(name: str, table: str, text: str, column: str | None):
         return search.phrase(index_of(spark, sf_dir, table).posting, text, column).select("column_name", "row", "confirmed", "needs_verification")
 
     QUERIES[name] = run
-    status = O.phrase_status(text, K.split_phrase(text), K.phrase_level(text), column)
+    status = O.phrase_status(text, *PHRASES[text], column)
     ORACLES[name] = f"WITH {_occ(table)}, {status} SELECT * FROM status WHERE confirmed OR needs_verification"
 
 
@@ -246,6 +303,31 @@ _phrase_query("phrase_status_words", "documents", "of the", "text")
 _phrase_query("phrase_status_parts", "conversations", "of.the", "text")
 
 
+def _unified_query(name: str, table: str, text: str, column: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.search(index_of(spark, sf_dir, table), text, column).select("column_name", "start_row", "end_row", "status", "splits")
+
+    QUERIES[name] = run
+    status, level = O.phrase_status(text, *PHRASES[text], column), PHRASES[text][1]
+    sides = " UNION ALL ".join(f"SELECT column_name, row, '{s}' AS status FROM status WHERE {s}" for s in ("confirmed", "needs_verification"))
+    ORACLES[name] = f"WITH {_occ(table)}, {status}, sides AS ({sides}), g AS (SELECT *, row - row_number() OVER (PARTITION BY column_name, status ORDER BY row) AS g FROM sides) SELECT column_name, min(row) AS start_row, max(row) AS end_row, status, {1 << level} AS splits FROM g GROUP BY column_name, status, g"
+
+
+_unified_query("search_phrase_url", "pages", "example.com/en", "url")
+_unified_query("search_phrase_words", "documents", "of the", None)
+
+
+@query(f"WITH {_occ('conversations')}, {O.runs()} SELECT column_name, start_row, end_row, 'confirmed' AS status, bit_or(splits) AS splits FROM runs WHERE keyword = 'user' GROUP BY ALL")
+def search_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(index_of(spark, sf_dir, "conversations"), "user", keyword_only=True).select("column_name", "start_row", "end_row", "status", "splits")
+
+
+@query(f"WITH {_occ('events')}, {O.runs()}, hit AS (SELECT DISTINCT column_name, start_row, end_row, splits FROM runs WHERE keyword = '26') SELECT '26' AS query, true AS found, count(DISTINCT column_name) AS n_columns, CAST(sum(end_row - start_row + 1) AS BIGINT) AS total_occurrences, 0::BIGINT AS to_verify, bit_or(splits) AS splits FROM hit")
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = search.summary(index_of(spark, sf_dir, "events"), "26", keyword_only=True)
+    return got.select("query", "found", F.size("columns").cast("long").alias("n_columns"), "total_occurrences", "to_verify", "splits")
+
+
 def _strict_query(name: str, table: str, text: str, column: str | None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return search.phrase_strict(index_of(spark, sf_dir, table), text, column).select("column_name", "row")
@@ -273,8 +355,8 @@ _CLICK, _TWO = ("click", "event_type"), ("26", "props")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    p = index_of(spark, sf_dir, "events").posting
-    return [search.keyword(p, w, c) for w, c in (_CLICK, _TWO)]
+    i = index_of(spark, sf_dir, "events")
+    return [search.lookup(i, w, c) for w, c in (_CLICK, _TWO)]
 
 
 @query(f"WITH {_occ('events')}, {_rows('events', _CLICK, _TWO)}, hit AS (SELECT row FROM r0 INTERSECT SELECT row FROM r1) {_ISLANDS}")
@@ -301,26 +383,74 @@ def rows_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_occ('orders')} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT key FROM occ WHERE keyword = 'URGENT' AND column_name = 'o_orderpriority')")
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = index_of(spark, sf_dir, "orders")
-    return fetch.rows(spark, i.table, search.keyword(i.posting, "URGENT", "o_orderpriority"), row_groups=i.row_groups).drop("o_orderdate")
+    return fetch.rows(spark, i.rows, search.lookup(i, "URGENT", "o_orderpriority"), row_groups=i.row_groups).drop("o_orderdate")
 
 
 @query(f"WITH {_occ('events')} SELECT event_id, event_type FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
 def fetch_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns of the hit rows; a column that the table lacks is ignored."""
     i = index_of(spark, sf_dir, "events")
-    return fetch.rows(spark, i.table, search.keyword(i.posting, *_TWO), ["event_id", "event_type", "nowhere"], i.row_groups)
+    return fetch.rows(spark, i.rows, search.lookup(i, *_TWO), ["event_id", "event_type", "nowhere"], i.row_groups)
 
 
-@query(f"WITH {_occ('pages')}, {O.phrase_status('example.com/en', K.split_phrase('example.com/en'), K.phrase_level('example.com/en'), 'url')} SELECT p.page_id, p.url FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS row FROM pages) p WHERE row IN (SELECT row FROM status WHERE confirmed OR needs_verification)")
+@query(f"WITH {_occ('pages')}, {O.phrase_status('example.com/en', *PHRASES['example.com/en'], 'url')} SELECT p.page_id, p.url FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS row FROM pages) p WHERE row IN (SELECT row FROM status WHERE confirmed OR needs_verification)")
 def fetch_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a phrase search confirms or leaves to verification."""
-    return fetch.rows(spark, f"{sf_dir}/pages.parquet", search.search(index_of(spark, sf_dir, "pages"), "example.com/en", "url"), ["page_id", "url"])
+    i = index_of(spark, sf_dir, "pages")
+    return fetch.rows(spark, i.rows, search.search(i, "example.com/en", "url"), ["page_id", "url"], i.row_groups)
 
 
-@query(f"WITH {_occ('events')}, {_rows('events', _TWO)} SELECT 1::BIGINT AS total_row_groups, 1::BIGINT AS row_groups_to_read, (SELECT count(*) FROM events) AS total_rows, (SELECT count(*) FROM r0) AS rows_to_read, 0::BIGINT AS row_groups_skipped, (SELECT count(*) FROM events) - (SELECT count(*) FROM r0) AS rows_skipped, 0.0::DOUBLE AS percent_row_groups_skipped, round(((SELECT count(*) FROM events) - (SELECT count(*) FROM r0)) * 100.0::DOUBLE / (SELECT count(*) FROM events), 4) AS percent_rows_skipped")
-def pruning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = index_of(spark, sf_dir, "events")
-    return fetch.pruning(i.row_groups, search.keyword(i.posting, *_TWO)).withColumn("percent_row_groups_skipped", F.col("percent_row_groups_skipped").cast("double")).withColumn("percent_rows_skipped", F.col("percent_rows_skipped").cast("double"))
+_GROUPS = f"p AS ({_PIECES}), total AS (SELECT count(*) AS n, count(DISTINCT (file_no, row_group)) AS g FROM p)"
+
+
+def _pruning(name: str, word: str, column: str, where: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        i = pieces(spark, sf_dir)
+        got = fetch.pruning(i.row_groups, search.lookup(i, word, column))
+        return got.withColumn("percent_row_groups_skipped", F.col("percent_row_groups_skipped").cast("double")).withColumn("percent_rows_skipped", F.col("percent_rows_skipped").cast("double"))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {_GROUPS}, hit AS (SELECT count(*) AS n, count(DISTINCT (file_no, row_group)) AS g FROM p WHERE {where}) SELECT t.g AS total_row_groups, h.g AS row_groups_to_read, t.n AS total_rows, h.n AS rows_to_read, t.g - h.g AS row_groups_skipped, t.n - h.n AS rows_skipped, round((t.g - h.g) * 100.0::DOUBLE / t.g, 4) AS percent_row_groups_skipped, round((t.n - h.n) * 100.0::DOUBLE / t.n, 4) AS percent_rows_skipped FROM total t, hit h"
+
+
+_pruning("pruning_stats", "777", "event_id", "event_id = 777")
+_pruning("pruning_stats_common", "click", "event_type", "event_type = 'click'")
+
+
+@query(f"WITH {_GROUPS} SELECT file_no, CAST(row_group AS INTEGER) AS row_group, min(row) AS start_row, max(row) AS end_row FROM (SELECT *, row - row_number() OVER (PARTITION BY file_no, row_group ORDER BY row) AS g FROM p WHERE event_type = 'click') GROUP BY file_no, row_group, g")
+def search_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a token over many files and row groups; rows count from the start of their group."""
+    return search.lookup(pieces(spark, sf_dir), *_CLICK).select(_file_no(), "row_group", "start_row", "end_row")
+
+
+@query("SELECT event_id, event_type, props FROM events WHERE event_type = 'click'")
+def fetch_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = pieces(spark, sf_dir)
+    return fetch.rows(spark, i.rows, search.lookup(i, *_CLICK), row_groups=i.row_groups)
+
+
+@query("SELECT event_id, event_type, props FROM events WHERE event_id IN (3, 777, 778)")
+def fetch_few_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = pieces(spark, sf_dir)
+    return fetch.rows(spark, i.rows, combine.any_of([search.lookup(i, w, "event_id") for w in ("3", "777", "778")]), row_groups=i.row_groups)
+
+
+@query(f"WITH p AS ({_PIECES}), files AS (SELECT DISTINCT file_no FROM p UNION SELECT max(file_no) + 1 FROM p) SELECT file_no, CASE WHEN file_no = 0 THEN 'missing' WHEN file_no > (SELECT max(file_no) FROM p) THEN 'new' WHEN file_no = 1 THEN 'size' ELSE 'ok' END AS status FROM files")
+def validate_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of a table that then lost its first file, had its second written anew and got another file."""
+    import pyarrow.parquet as pq
+
+    from .sources.files import delete, open_output
+
+    folder = write_pieces(spark, sf_dir, scratch(spark, "stale"))
+    i = index.build(spark, folder, scratch(spark, "stale-index"), ["event_type"])
+    files = sorted(i.rows.inputFiles())
+    delete(files[0])
+    few = pa.table({"event_id": pa.array([1], pa.int64()), "event_type": ["x"], "props": ["y"]})
+    for name in [*files[1:2], f"{folder}/file-{len(files):05d}.parquet"]:
+        with open_output(name) as out:
+            pq.write_table(few, out)
+    return index.validate(i).select(_file_no(), "status")
 
 
 @query(f"WITH {_occ('part')}, {O.runs()} SELECT 1 AS version, 0.01::DOUBLE AS error_rate, 1::BIGINT AS files, 1::BIGINT AS row_groups, (SELECT count(*) FROM part) AS rows, count(DISTINCT column_name) AS columns, count(DISTINCT keyword) AS tokens, count(*) AS postings FROM runs")
@@ -347,7 +477,7 @@ _TERMS = [("BUILDING", "c_mktsegment"), ("Customer", "c_name")]
 def multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with several tokens in given columns: searches, AND, fetch."""
     i = index_of(spark, sf_dir, "customer")
-    return fetch.rows(spark, i.table, combine.all_of([search.keyword(i.posting, w, c) for w, c in _TERMS]), row_groups=i.row_groups)
+    return fetch.rows(spark, i.rows, combine.all_of([search.lookup(i, w, c) for w, c in _TERMS]), row_groups=i.row_groups)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(p_brand, 'Brand#3')")
@@ -370,4 +500,4 @@ def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_occ('events')} SELECT event_id FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")
 def flagship_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = index_of(spark, sf_dir, "events")
-    return fetch.rows(spark, i.table, search.keyword(i.posting, *_TWO), ["event_id"], i.row_groups)
+    return fetch.rows(spark, i.rows, search.lookup(i, *_TWO), ["event_id"], i.row_groups)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.cells import ADDRESS, BROADCAST_ROWS, addressed
+from ..sources.files import for_spark
 from .postings import to_rows
 from .search import hit_rows
 
@@ -27,7 +28,7 @@ def rows(spark: SparkSession, path: str | DataFrame, hits: DataFrame, columns: l
 
     Few hits are found at once, by one job, and their rows are ranges of a filter, without a join if the ranges are few.
     """
-    table = path if isinstance(path, DataFrame) else spark.read.parquet(path)
+    table = path if isinstance(path, DataFrame) else spark.read.parquet(for_spark(spark, path))
     keep = table.columns if columns is None else [c for c in columns if c in table.columns]
     if not keep:
         raise ValueError(f"the table has none of the columns {columns}")

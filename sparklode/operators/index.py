@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import LEVELS
 from ..session import cut
 from ..sources.cells import cells, row_groups
+from ..sources.files import for_spark
 from . import filters, postings
 from .shred import shred
 
@@ -63,7 +64,7 @@ class Index:
     @cached_property
     def rows(self) -> DataFrame:
         """The indexed table."""
-        return self.spark.read.parquet(self.table)
+        return self.spark.read.parquet(for_spark(self.spark, self.table))
 
     def _held(self, name: str) -> DataFrame:
         """A table of the index, as a local one if it is small."""
@@ -135,7 +136,7 @@ def build(spark: SparkSession, path: str, index_path: str | None = None, columns
     save(params, "filter")
     save(bitmaps, "bitmap")
     save(sets, "set")
-    save(row_groups(spark, spark.read.parquet(path)), "row_groups")
+    save(row_groups(spark, spark.read.parquet(for_spark(spark, path))), "row_groups")
     indexed = index.posting.agg(F.sort_array(F.collect_set("column_name")).alias("indexed_columns"))
     delimiters = F.array(*[F.lit(x) for x in LEVELS])
     save(indexed.select(F.lit(VERSION).alias("version"), F.lit(path).alias("table_path"), F.lit(error_rate).alias("error_rate"), delimiters.alias("delimiters"), "indexed_columns"), "meta")
@@ -168,7 +169,7 @@ def info(index: Index) -> DataFrame:
 def validate(index: Index) -> DataFrame:
     """(file_path, status) of every file: ok, size, modified, missing or new, by its size and its time to the second."""
     old = index.row_groups.select("file_path", "file_size", "file_modified").distinct()
-    now = row_groups(index.spark, index.spark.read.parquet(index.table)).select("file_path", F.col("file_size").alias("size"), F.col("file_modified").alias("modified")).distinct()
+    now = row_groups(index.spark, index.spark.read.parquet(for_spark(index.spark, index.table))).select("file_path", F.col("file_size").alias("size"), F.col("file_modified").alias("modified")).distinct()
     second = lambda c: F.date_trunc("second", c)
     status = F.when(F.col("size").isNull(), "missing").when(F.col("file_size").isNull(), "new").when(F.col("size") != F.col("file_size"), "size")
     status = status.when(second("modified") != second("file_modified"), "modified").otherwise("ok")

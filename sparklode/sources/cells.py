@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship
+from .files import for_spark
 
 #: Row groups up to which their table is broadcast; beyond it the join by file shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -27,12 +28,13 @@ def row_groups(spark: SparkSession, table: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow.parquet as pq
-        from pyarrow import fs
+
+        from sparklode.sources.files import filesystem
 
         for b in batches:
             out = []
             for uri in b.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = filesystem(uri)
                 info = system.get_file_info(path)
                 with system.open_input_file(path) as f:
                     m = pq.ParquetFile(f).metadata
@@ -98,6 +100,6 @@ def unpivot(table: DataFrame, keys: list[str], columns: list[str] | None = None,
 
 def cells(spark: SparkSession, path: str, columns: list[str] | None = None, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The cells of a Parquet table (a file or a folder) with their rows' addresses."""
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(for_spark(spark, path))
     wanted = [c for c in table.columns if c not in exclude and (columns is None or c in columns)]
     return unpivot(addressed(spark, table.select(*[f"`{c}`" for c in wanted])) if wanted else addressed(spark, table), ADDRESS, columns, exclude)
