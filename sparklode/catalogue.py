@@ -455,7 +455,7 @@ def validate_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_occ('part')}, {O.runs()} SELECT 1 AS version, 0.01::DOUBLE AS error_rate, 1::BIGINT AS files, 1::BIGINT AS row_groups, (SELECT count(*) FROM part) AS rows, count(DISTINCT column_name) AS columns, count(DISTINCT keyword) AS tokens, count(*) AS postings FROM runs")
 def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.info(index_of(spark, sf_dir, "part"))
+    return index.info(index_of(spark, sf_dir, "part")).drop("table_bytes", "modified")
 
 
 @query("SELECT 'ok' AS status, 1::BIGINT AS files")
@@ -494,7 +494,7 @@ def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.append import index_stream
 
     p = index_stream(ship(spark), f"{sf_dir}/events.parquet", scratch(spark, "stream"), TABLES["events"][1])
-    return p.select("keyword", "column_name", "start_row", "end_row", "splits", "parent")
+    return p.posting.select("keyword", "column_name", "start_row", "end_row", "splits", "parent")
 
 
 @query(f"WITH {_occ('events')} SELECT event_id FROM events WHERE event_id IN (SELECT key FROM occ WHERE keyword = '26' AND column_name = 'props')")

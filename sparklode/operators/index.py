@@ -6,6 +6,7 @@ bitmaps and sets, row_groups and meta.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import LEVELS
 from ..session import cut
 from ..sources.cells import cells, row_groups
-from ..sources.files import for_spark
+from ..sources.files import for_spark, register, resolve
 from . import filters, postings
 from .shred import shred
 
@@ -43,7 +44,8 @@ class Index:
     prefix: str = ""
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{self.prefix}{name}")
+        table = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{self.prefix}{name}")
+        return table.select(*[x.split()[0] for x in SCHEMAS[name].split(", ")])
 
     @cached_property
     def posting(self) -> DataFrame:
@@ -75,7 +77,7 @@ class Index:
     def _filters(self) -> dict | None:
         """By column ('' for all): a set of tokens, or (bits, hashes, words); None if they are too large for the driver."""
         params = self.read("filter").collect()
-        if sum(r["num_bits"] // 64 + 1 if r["kind"] == "bloom" else r["num_items"] for r in params) > HELD_ROWS:
+        if not params or sum(r["num_bits"] // 64 + 1 if r["kind"] == "bloom" else r["num_items"] for r in params) > HELD_ROWS:
             return None
         words, sets = ({r["column_name"]: {} if x == "bitmap" else set() for r in params} for x in ("bitmap", "set"))
         for r in self.read("bitmap").toLocalIterator():
@@ -110,8 +112,23 @@ class Index:
         return {}
 
 
+#: How postings are written. parquet.bloom.filter.adaptive picks the size of each row group's Bloom filter by its tokens.
+POSTING_OPTIONS = {
+    "parquet.bloom.filter.enabled#keyword": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.expected.ndv#keyword": "400000",
+    "parquet.enable.dictionary": "true", "parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10),
+}
+
+
 def location(path: str) -> str:
-    return path.rstrip("/") + ".index"
+    return resolve(path).rstrip("/") + ".index"
+
+
+def save_meta(index: Index, path: str, error_rate: float, columns: list[str]) -> None:
+    """Writes an index's facts, and its other tables without rows where there are none yet."""
+    row = [(VERSION, path, float(error_rate), list(LEVELS), sorted(columns))]
+    index.spark.createDataFrame(row, SCHEMAS["meta"]).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/{index.prefix}meta")
+    for name in ("filter", "bitmap", "set"):
+        index.spark.createDataFrame([], SCHEMAS[name]).write.mode("ignore").parquet(f"{index.path}/{index.prefix}{name}")
 
 
 def build_postings(spark: SparkSession, path: str, columns: list[str] | None = None, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -130,17 +147,23 @@ def build(spark: SparkSession, path: str, index_path: str | None = None, columns
     def save(df: DataFrame, name: str, **options: str) -> None:
         df.write.mode("overwrite").options(**options).parquet(f"{index.path}/{prefix}{name}")
 
-    bloom = {"parquet.bloom.filter.enabled#keyword": "true", "parquet.bloom.filter.expected.ndv#keyword": "200000", "parquet.enable.dictionary": "true", "parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10)}
-    save(build_postings(spark, path, columns, exclude), "posting", **bloom)
+    save(build_postings(spark, path, columns, exclude), "posting", **POSTING_OPTIONS)
     params, bitmaps, sets = filters.build(cut(index.posting.select("column_name", "keyword").distinct(), "names"), error_rate)
+    params = cut(params, "filter")
     save(params, "filter")
     save(bitmaps, "bitmap")
     save(sets, "set")
     save(row_groups(spark, spark.read.parquet(for_spark(spark, path))), "row_groups")
-    indexed = index.posting.agg(F.sort_array(F.collect_set("column_name")).alias("indexed_columns"))
-    delimiters = F.array(*[F.lit(x) for x in LEVELS])
-    save(indexed.select(F.lit(VERSION).alias("version"), F.lit(path).alias("table_path"), F.lit(error_rate).alias("error_rate"), delimiters.alias("delimiters"), "indexed_columns"), "meta")
-    return index
+    indexed = [r["column_name"] for r in params.filter(F.col("column_name") != filters.GLOBAL).select("column_name").collect()]
+    save_meta(index, path, error_rate, indexed)
+    return Index(spark, index.path, prefix)
+
+
+def build_in_memory(table: DataFrame, **how) -> Index:
+    """The index of a DataFrame that is no table yet: both live in the shared folder of the session. how: as for build."""
+    name = f"memory://table-{uuid.uuid4().hex}"
+    register(name, table)
+    return build(table.sparkSession, name, **how)
 
 
 def exists(spark: SparkSession, path: str, index_path: str | None = None, prefix: str = "") -> bool:
@@ -160,9 +183,12 @@ def open_index(spark: SparkSession, path: str, index_path: str | None = None, pr
 
 
 def info(index: Index) -> DataFrame:
-    """One row: version, error_rate, files, row_groups, rows, columns, tokens, postings."""
+    """One row: version, error_rate, files, row_groups, rows, table_bytes, modified (the latest file), columns, tokens,
+    postings."""
     p = index.posting.agg(F.countDistinct("column_name").alias("columns"), F.countDistinct("keyword").alias("tokens"), F.count(F.lit(1)).alias("postings"))
     g = index.row_groups.agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("row_groups"), F.coalesce(F.sum("num_rows"), F.lit(0)).alias("rows"))
+    files = index.row_groups.select("file_path", "file_size", "file_modified").distinct().agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("table_bytes"), F.max("file_modified").alias("modified"))
+    g = g.crossJoin(files)  # of one row each
     return index.read("meta").select("version", "error_rate").crossJoin(g).crossJoin(p)
 
 

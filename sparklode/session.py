@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: list[str] = []
 #: Rows of an Arrow batch unless the session sets another number than Spark's default: texts make large rows.
 BATCH_ROWS = 2000
 
@@ -47,7 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparklode-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        held = tempfile.mkdtemp(prefix="sparklode-")
+        atexit.register(shutil.rmtree, held, ignore_errors=True)
+        root = "file://" + held
         spark.sparkContext.setCheckpointDir(root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -56,7 +63,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this program has written to the shared folder so far, cut tables and indexes there; for a job's end."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:

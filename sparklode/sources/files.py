@@ -42,8 +42,46 @@ def delete(uri: str) -> None:
     system.delete_file(path)
 
 
+_registered: dict[str, str] = {}
+
+
+def register(name: str, table) -> str:
+    """Makes a DataFrame readable as memory://name until unregister; its rows are written to the shared folder."""
+    from ..session import scratch
+
+    path = scratch(table.sparkSession, "memory")
+    table.write.parquet(path)
+    _registered[name] = path
+    return name
+
+
+def register_bytes(spark, name: str, data: bytes) -> str:
+    """Makes the bytes of one Parquet file readable as memory://name until unregister."""
+    from ..session import scratch
+
+    path = scratch(spark, "memory") + ".parquet"
+    with open_output(path) as out:
+        out.write(data)
+    _registered[name] = path
+    return name
+
+
+def unregister(name: str) -> None:
+    _registered.pop(name, None)
+
+
+def resolve(uri: str) -> str:
+    """The place of a memory:// table; any other URI as it is."""
+    if not uri.startswith("memory://"):
+        return uri
+    if uri not in _registered:
+        raise FileNotFoundError(f"nothing is registered as {uri}")
+    return _registered[uri]
+
+
 def for_spark(spark, uri: str) -> str:
-    """The URI as Spark reads it: s3 becomes s3a, and ?anon=true makes its bucket's requests unsigned."""
+    """The URI as Spark reads it: memory:// by its registered place, s3 becomes s3a, and ?anon=true makes its bucket's requests unsigned."""
+    uri = resolve(uri)
     own, anonymous = split(uri)
     if not own.startswith("s3://"):
         return uri

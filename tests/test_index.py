@@ -210,6 +210,75 @@ def test_stream_appends(spark, tmp_path):
 
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("a b",)], "s string").coalesce(1).write.parquet(source)
-    assert index_stream(spark, source, target, ["s"]).count() == 2
-    spark.createDataFrame([("c",)], "s string").coalesce(1).write.mode("append").parquet(source)
-    assert {r.keyword for r in index_stream(spark, source, target, ["s"]).collect()} == {"a", "b", "c"}
+    assert index_stream(spark, source, target, ["s"]).posting.count() == 2
+    spark.createDataFrame([("c a/b",)], "s string").coalesce(1).write.mode("append").parquet(source)
+    i = index_stream(spark, source, target, ["s"])
+    assert {r.keyword for r in i.posting.collect()} == {"a", "b", "c", "a/b"}
+    assert {r.status for r in index.validate(i).collect()} == {"ok"} and index.info(i).first().files == 2
+    assert [r.s for r in fetch.rows(spark, i.rows, search.lookup(i, "c"), row_groups=i.row_groups).collect()] == ["c a/b"]
+    assert search.phrase_strict(i, "a/b").count() == 1 and search.lookup(i, "zzz").count() == 0
+
+
+def test_tables_in_memory(spark):
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparklode.sources import files
+
+    i = index.build_in_memory(spark.createDataFrame([(1, "x/y"), (2, "z")], "id long, s string"), exclude=["id"])
+    assert [r.id for r in fetch.rows(spark, i.rows, search.search(i, "x/y"), row_groups=i.row_groups).collect()] == [1]
+    held = io.BytesIO()
+    pq.write_table(pa.table({"id": [7, 8], "s": ["p q", "r"]}), held)
+    name = files.register_bytes(spark, "memory://bytes", held.getvalue())
+    i = index.build(spark, name)
+    assert index.exists(spark, name) and [r.id for r in fetch.rows(spark, name, search.lookup(i, "q")).collect()] == [7]
+    files.unregister(name)
+    with pytest.raises(FileNotFoundError):
+        index.exists(spark, name)
+
+
+def test_uris():
+    from sparklode.sources.files import split
+
+    assert split("/a/b") == ("file:///a/b", False) and split("file:///a?b") == ("file:///a?b", False)
+    assert split("s3a://b/k") == ("s3://b/k", False) and split("s3://b/k?anon=true") == ("s3://b/k", True) and split("s3://b/k?anon=1")[1]
+    assert split("s3://b/k?anon=no")[1] is False and split("abfss://c@d/k")[0] == "abfs://c@d/k"
+
+
+def test_filters_reject_before_postings_are_read(people):
+    built, _, _ = people
+    assert built.might_contain("example") and built.might_contain("example", "s") and not built.might_contain("no such token")
+    assert not built.might_contain("fox", "id") and not built.might_contain("fox", "nowhere")
+    known = {(r.column_name, r.keyword) for r in built.posting.select("column_name", "keyword").distinct().collect()}
+    assert all(built.might_contain(k, c) for c, k in known)
+    assert search.lookup(built, "no such token").count() == 0
+
+
+def test_summary_of_a_search(people):
+    built, rows, _ = people
+    r = search.summary(built, "b/c", "s").first()
+    assert r.tokens == ["b", "b/c", "c"] and r.found and r.columns == ["s"] and r.total_occurrences + r.to_verify >= sum(x["s"] == "b/c" for x in rows)
+    none = search.summary(built, "absent", keyword_only=True).first()
+    assert not none.found and none.total_occurrences == 0 and none.columns == []
+
+
+def test_fetch_by_ranges_and_by_join(spark, people, monkeypatch):
+    built, rows, _ = people
+    hits = search.lookup(built, "c")
+    want = sorted(r.id for r in fetch.rows(spark, built.rows, hits, ["id"]).collect())
+    for ranges, local in ((64, 10_000), (0, 10_000), (0, 0)):
+        monkeypatch.setattr(fetch, "FILTER_RANGES", ranges)
+        monkeypatch.setattr(fetch, "LOCAL_RANGES", local)
+        assert sorted(r.id for r in fetch.rows(spark, built.rows, hits, ["id"], built.row_groups).collect()) == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sparklode.session import shared_dir
+
+    sc = SimpleNamespace(master="spark://x", _conf={}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=sc))
