@@ -78,9 +78,8 @@ def statistics(arr: pa.Array) -> np.ndarray:
     newline = np.flatnonzero(data == 10)
     ls = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], newline + 1]))
     ls = ls[ls < len(data)]
-    le = np.append(ls[1:] - 1, len(data))
     line_doc = np.searchsorted(off, ls, "right") - 1
-    le = np.minimum(np.maximum(le, ls), off[line_doc + 1]) if len(ls) else ls
+    le = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, ls)], off[line_doc + 1])
     lines = np.bincount(line_doc, minlength=n_docs)
     different, _ = _distinct(X.span_hash(X.prefix_hash(data), ls, le), line_doc, n_docs)
     run = np.zeros(len(data) + 1, np.int64)
