@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, scratch
+from ..sources.files import open_input, open_output
 from . import text as X
 
 _READ = 1 << 16
@@ -25,16 +26,6 @@ _READ = 1 << 16
 _BATCH = 4 << 20
 
 
-def _open(uri: str, write: bool = False):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else "/" + uri)
-    if write:
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(path)
-    return system.open_input_stream(path)
-
-
 class _Members(io.RawIOBase):
     """Bytes of concatenated gzip members, or of a plain file, inflated as they are asked for."""
 
@@ -144,7 +135,7 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
             for page_id, url, html in zip(b.column(0), b.column(1), b.column(2)):
                 if out is None:
                     path = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
-                    out = _open(path, write=True)
+                    out = open_output(path)
                 buf = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 target = (url.as_py() or "").replace("\r", "").replace("\n", "")
@@ -183,7 +174,7 @@ def read(paths: DataFrame, chunk_bytes: int = 1 << 14) -> DataFrame:
             for path in b.column(0).to_pylist():
                 if path is None:
                     continue
-                with _open(path) as raw:
+                with open_input(path) as raw:
                     for r in records(raw, chunk_bytes):
                         rows.append(r)
                         size += len(r[6]) + 200

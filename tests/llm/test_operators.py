@@ -611,6 +611,28 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r.keep == (r.quality == 1) for r in got) >= 0.93 * len(got)
 
 
+def test_document_statistics_equal_brute_force():
+    rng = random.Random(15)
+    texts = ["", None, "one", "One ONE one, two! 50% | a_b\n\nA line\nA line\n", "é ü 日本 x" * 9, "\n", "w" * 30 + " NASA end."] + ["".join(rng.choice("abC 1.,!|%#\n é") for _ in range(rng.randint(1, 80))) for _ in range(150)]
+    got = quality.statistics(pa.array(texts))
+    for row, t in zip(got, texts):
+        raw, w = (t or "").encode(), [x.encode() for x in brute.words(t)]
+        if not raw:
+            assert not row.any()
+            continue
+        n, size, lines_ = max(1, len(w)), len(raw), raw.split(b"\n")
+        lines_ = lines_[:-1] if raw.endswith(b"\n") else lines_
+        share = lambda cs: sum(c in cs for c in raw) / size
+        pairs = list(itertools.pairwise(w))
+        upper = lambda x: sum(65 <= c <= 90 for c in x)
+        want = [
+            math.log1p(size), math.log1p(len(w)), sum(map(len, w)) / n, share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), sum(c >= 128 for c in raw) / size, share(b"\n"), share(b"!"), share(b"|"), share(b"%"),
+            share(b"#$&*@^~_=+<>/\\[]{}`"), share(b",."), len(set(w)) / n, max(collections.Counter(w).values(), default=0) / n, sum(a == b for a, b in pairs) / n, len(set(pairs)) / max(1, len(w) - 1),
+            size / len(lines_), 1 - len(set(lines_)) / len(lines_), sum(upper(x) >= max(2, len(x) / 2) for x in w) / n, sum(len(x) > 20 for x in w) / n,
+        ]
+        assert np.allclose(row, want), t
+
+
 def test_flat_trees_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5))
