@@ -10,9 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.index import POSTING_OPTIONS, Index, save_meta
-from ..operators.postings import PLACE, run_lengths
-from ..operators.shred import shred
+from ..operators.index import Index, save_meta, write_postings
 from ..session import cut
 from ..sources.cells import ADDRESS, addressed, file_path, row_groups, unpivot
 
@@ -36,8 +34,7 @@ def start(spark: SparkSession, source: str, target: str, columns: list[str], tri
         table = spark.read.schema(schema).parquet(*paths)
         groups = cut(row_groups(spark, table), "row-groups")
         cells = unpivot(addressed(spark, table.select(*[f"`{c}`" for c in columns]), groups), ADDRESS, columns)
-        runs = run_lengths(cut(shred(cells), "occurrences").repartitionByRange(*PLACE)).sortWithinPartitions("keyword")
-        runs.write.mode("overwrite").options(**POSTING_OPTIONS).parquet(f"{target}/posting/batch={number}")
+        write_postings(Index(spark, target), cells, number)
         groups.write.mode("overwrite").parquet(f"{target}/row_groups/batch={number}")
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
