@@ -74,3 +74,29 @@ def test_ranges_go_on_from_piece_to_piece(spark, monkeypatch, piece):
     rows = spark.createDataFrame([("f", r) for r in (0, 1, 2, 3, 4, 5, 6, 8, 11, 12, 20)] + [("g", 3)], "file_path string, row long")
     got = sorted(tuple(r) for r in postings.to_ranges(rows, ["file_path"]).collect())
     assert got == [("f", 0, 6), ("f", 8, 8), ("f", 11, 12), ("f", 20, 20), ("g", 3, 3)]
+
+
+def test_statistics_and_counts_hold_across_cells_and_batches(spark, monkeypatch, tmp_path):
+    from collections import Counter
+
+    from sparklode.functions import tokens as K
+    from sparklode.operators import shred
+
+    rows = [(k % 7, ["a/b c", "a/b"] if k % 3 else ["a a"], "c-d" if k % 2 else None) for k in range(50)]
+    spark.createDataFrame(rows, "id long, s array<string>, t string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(shred, "TASK_BYTES", 1)
+    cells = [(k, i, c, x) for k, (i, s, t) in enumerate(rows) for c, xs in (("s", s), ("t", [t] if t else [])) for x in xs]
+    occ = [(k, i, c, w, b, p) for k, i, c, x in cells for w, b, p in K.shred(x)]
+    bits = {}
+    for _, _, c, w, b, _ in occ:
+        bits[w, c] = bits.get((w, c), 0) | b
+    n, held = Counter((w, c) for _, _, c, w, _, _ in occ), Counter((w, c) for _, c, w in {(k, c, w) for k, _, c, w, _, _ in occ})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = shred.statistics(C.cells(spark, str(tmp_path / "t"), ["s", "t"])).collect()
+        assert sorted(tuple(r) for r in got) == sorted((w, c, n[w, c], held[w, c], bits[w, c]) for w, c in n)
+        by_id = shred.counted(C.unpivot(spark.read.parquet(str(tmp_path / "t")), ["id"], ["s", "t"]), ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    want = Counter((i, c, w, b, p) for _, i, c, w, b, p in occ)
+    assert Counter({tuple(r)[:5]: r.n for r in by_id}) == want and len(by_id) == len(want)
