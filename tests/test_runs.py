@@ -100,3 +100,24 @@ def test_statistics_and_counts_hold_across_cells_and_batches(spark, monkeypatch,
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     want = Counter((i, c, w, b, p) for _, i, c, w, b, p in occ)
     assert Counter({tuple(r)[:5]: r.n for r in by_id}) == want and len(by_id) == len(want)
+
+
+def test_filters_of_one_column_are_built_and_probed_in_many_tasks(spark, monkeypatch):
+    from sparklode.operators import filters
+
+    monkeypatch.setattr(postings, "TASK_ROWS", 500)
+    names = spark.range(3000).select(F.lit("c").alias("column_name"), F.concat(F.lit("word"), "id").alias("keyword"))
+    params, bitmaps, sets = filters.build(names)
+    spread = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert spread(bitmaps) > 8 and sets.count() == 0
+    assert sorted((r.column_name, r.kind, r.num_items) for r in params.collect()) == [("", "bloom", 3000), ("c", "bloom", 3000)]
+    got = filters.probe(names, params, bitmaps, sets)
+    assert spread(got) > 8 and got.filter("might_contain").count() == got.count() == 3000
+
+
+def test_the_tokens_of_an_index_are_gathered_in_tasks_by_its_postings(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(postings, "TASK_ROWS", 100)
+    spark.range(0, 1000, 1, 1).select(F.concat(F.lit("t"), "id").alias("s")).write.parquet(str(tmp_path / "t"))
+    i = index.build(spark, str(tmp_path / "t"))
+    assert len(i.tokens.inputFiles()) > 8 and i.tokens.count() == 1000
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
