@@ -121,3 +121,20 @@ def test_the_tokens_of_an_index_are_gathered_in_tasks_by_its_postings(spark, mon
     i = index.build(spark, str(tmp_path / "t"))
     assert len(i.tokens.inputFiles()) > 8 and i.tokens.count() == 1000
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
+def test_many_rows_are_fetched_and_written_in_tasks_by_their_number(spark, monkeypatch, tmp_path):
+    from sparklode import catalogue
+    from sparklode.operators import fetch
+
+    monkeypatch.setattr(fetch, "LOCAL_RANGES", 10)
+    monkeypatch.setattr(postings, "TASK_ROWS", 100)
+    monkeypatch.setattr(catalogue, "FILE_ROWS", 20)
+    spark.range(0, 2000, 1, 1).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("event_type"), F.lit("p").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    i = index.build(spark, str(tmp_path / "events.parquet"), str(tmp_path / "i"), ["event_type"])
+    for groups in (i.row_groups, None):
+        got = fetch.rows(spark, i.rows, search.lookup(i, "even"), ["event_id"], groups)
+        assert got.select(F.spark_partition_id()).distinct().count() > 8
+        assert sorted(r.event_id for r in got.collect()) == list(range(0, 2000, 2))
+    by_file = catalogue.by_file(spark, str(tmp_path))
+    assert by_file.select(F.spark_partition_id()).distinct().count() > 8 and by_file.count() == 2000
